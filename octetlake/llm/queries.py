@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from octetlake.llm import decontaminate
+from octetlake.llm import decontaminate, simhash
 from octetlake.llm.common import table
 
 
@@ -10,5 +10,10 @@ def op1_decontaminate(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate}
+
+def op6_simhash(spark, sf_dir):
+    return simhash.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op6_simhash)}
 ORACLES = {"op1_decontaminate": decontaminate.SQL}
