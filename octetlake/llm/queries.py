@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from octetlake.llm import decontaminate, simhash
+from octetlake.llm import decontaminate, simhash, toxicity
 from octetlake.llm.common import table
 
 
@@ -11,9 +11,13 @@ def op1_decontaminate(spark, sf_dir):
 
 
 
+def op2_toxicity(spark, sf_dir):
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_simhash(spark, sf_dir):
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op6_simhash)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_toxicity, op6_simhash)}
 ORACLES = {"op1_decontaminate": decontaminate.SQL}
