@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from octetlake.llm import decontaminate, simhash, toxicity
+from octetlake.llm import decontaminate, embedding_dedup, simhash, toxicity
 from octetlake.llm.common import table
 
 
@@ -15,9 +15,13 @@ def op2_toxicity(spark, sf_dir):
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.report(table(spark, sf_dir, "embeddings"))
+
+
 def op6_simhash(spark, sf_dir):
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_toxicity, op6_simhash)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_toxicity, op3_embedding_dedup, op6_simhash)}
 ORACLES = {"op1_decontaminate": decontaminate.SQL}
