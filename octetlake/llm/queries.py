@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from octetlake.llm import decontaminate, embedding_dedup, simhash, toxicity
+from octetlake.llm import decontaminate, embedding_dedup, mixing, simhash, toxicity
 from octetlake.llm.common import table
 
 
@@ -19,9 +19,13 @@ def op3_embedding_dedup(spark, sf_dir):
     return embedding_dedup.report(table(spark, sf_dir, "embeddings"))
 
 
+def op4_mixing(spark, sf_dir):
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark, sf_dir):
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_toxicity, op3_embedding_dedup, op6_simhash)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_toxicity, op3_embedding_dedup, op4_mixing, op6_simhash)}
 ORACLES = {"op1_decontaminate": decontaminate.SQL}
