@@ -6,11 +6,15 @@ fraction p is rounded dependently: two documents with fractions p, q and sizes s
 The sum of s * p never changes, so what a source takes differs from its target by less than the
 one document that is left last.
 
-Trades form a reduction tree. Documents are dealt by a hash into groups of about GROUP; each group
-is folded by trades to one fractional residual; residuals are dealt and folded again, until every
-source has one, which is rounded at random. A level divides the rows by about GROUP, so even a
-source with a third of all rows never meets in one task, and each level is one shuffle of narrow
-rows. All random numbers are hashes of ids, so reruns agree.
+Trades form a reduction tree. The documents of a source and size class (powers of two) are dealt by
+a hash into groups of about GROUP; each group is folded by trades to one fractional residual, and
+residuals are dealt and folded again until a class has GROUP of them. The root of a source then
+folds what its classes left, the largest documents first, and rounds what is left of the last, a
+small one, at random. Huge documents (over 1 / 128 of their source) trade among themselves first;
+the one that is left is settled against all others at once, whose common fraction makes up for it.
+A level divides the rows by about GROUP, so even a source with a third of all rows never meets in
+one task, and each level is one shuffle of narrow rows. All random numbers are hashes of ids, so
+reruns agree.
 """
 
 from __future__ import annotations
@@ -31,13 +35,13 @@ def text_size(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, cap: float = 3.0) -> DataFrame:
-    """(source, n, source_size, target) for (source, size) rows.
+    """(source, source_size, target) for (source, size) rows.
 
     Sources weigh 1, 2, 3, 1, ... in code-point order, a null source last, and share the sum of all
     sizes; a target above cap times its source's size is cut to that, and what is cut off goes to
     the others by weight, until none is above. Every step works on one row per source.
     """
-    per = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("source_size"))
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     order = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
     per = per.withColumn("w", (F.row_number().over(order) - 1) % 3 + 1)
     # In order of cap * size / weight the cut sources are a prefix: a source is cut if it is below the
@@ -50,7 +54,7 @@ def source_targets(sizes: DataFrame, cap: float = 3.0) -> DataFrame:
     per = per.withColumn("level", level).withColumn("full", cap * ratio <= F.col("level"))
     free = F.min(F.when(~F.col("full"), F.struct(ratio, F.col("source").isNull(), F.col("source").cast("binary"), F.col("level").alias("level")))).over(whole)
     share = F.when(F.col("full"), cap * F.col("source_size")).otherwise(F.col("w") * free["level"])
-    return per.select("source", "n", "source_size", F.coalesce(share, F.lit(0.0)).cast("double").alias("target"))
+    return per.select("source", "source_size", F.coalesce(share, F.lit(0.0)).cast("double").alias("target"))
 
 
 def _chance(*parts) -> Column:
@@ -106,29 +110,53 @@ def plan_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), text_size(F.col(text_col)).alias("size"))
     id_type = dict(rows.dtypes)["id"]
     rows = checkpoint(rows.groupBy("id", "source", "size").count())
-    per = rows.select("source", (F.col("size") * F.col("count")).alias("size"), "count")
-    per = per.groupBy("source").agg(F.sum("size").alias("size"), F.sum("count").alias("n"))
-    per = checkpoint(source_targets(per.select("source", "size")).drop("n").join(per.select(F.col("source").alias("s2"), "n"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2"))
+    per = checkpoint(source_targets(rows.select("source", (F.col("size") * F.col("count")).alias("size")), cap))
     per = per.withColumn("rate", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(cap))).otherwise(0.0))
-    per = per.withColumn("whole", F.floor("rate")).withColumn("p", F.col("rate") - F.col("whole"))
-    few, most = per.agg(F.count(F.lit(1)), F.max("n")).first()
+    per = per.withColumn("whole", F.floor("rate")).withColumn("p", F.col("rate") - F.col("whole")).withColumnRenamed("source", "s2")
+    few = per.count()
     side = F.broadcast(per) if few <= BROADCAST_SOURCES else per
-    side = side.withColumnRenamed("source", "s2")
-    each = rows.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count")))).drop("count")
-    each = each.join(side, each["source"].eqNullSafe(side["s2"])).drop("s2")
+    kind = F.when(F.col("size") > 0, F.floor(F.log2("size")).cast("int")).otherwise(-1)
+    classes = rows.groupBy(F.col("source").alias("s3"), kind.alias("c3")).agg(F.sum("count").alias("n"))
+    most = classes.where("c3 >= 0").agg(F.max("n")).first()[0] or 0
+    classes = F.broadcast(classes) if few <= BROADCAST_SOURCES else classes  # under 64 classes a source
+    each = rows.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count")))).drop("count").withColumn("class", kind)
+    each = each.join(side, each["source"].eqNullSafe(side["s2"])).join(classes, each["source"].eqNullSafe(classes["s3"]) & (F.col("class") == F.col("c3")))
     fraction = (F.col("size") > 0) & (F.col("p") > 0)
     out = each.where(~fraction).select("source", "id", "k", "size", F.lit(0).alias("bit"))
-    left = each.where(fraction).select("source", F.ceil(F.col("n") / GROUP).alias("groups"), F.struct("id", "k", "size", "p").alias("x"))
+    huge = F.col("size") * GROUP * 2 > F.col("source_size")  # fewer than 2 * GROUP of a source
     level = 0
-    while True:
-        group = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), F.col("x.id"), F.col("x.k"), F.col("x.size")), F.col("groups"))
-        items = left.groupBy("source", "groups", group.alias("g")).agg(F.sort_array(F.collect_list(F.struct("x.size", "x.id", "x.k", "x.p")), asc=False).alias("items"))
-        folded = checkpoint(items.select("source", "groups", _fold(F.col("items"), seed + level, id_type).alias("f")))
-        out = out.unionByName(folded.select("source", F.explode("f.done").alias("d")).select("source", "d.*"))
-        left = folded.select("source", F.ceil(F.col("groups") / GROUP).alias("groups"), F.col("f.left").alias("x"))
-        most, level = -(-most // GROUP), level + 1  # the most groups that a source had at this level
-        if most <= 1:
-            break
+
+    def folded(groups: DataFrame, *keys: str) -> DataFrame:
+        items = groups.groupBy("source", *keys).agg(F.sort_array(F.collect_list(F.struct("x.size", "x.id", "x.k", "x.p")), asc=False).alias("items"))
+        return checkpoint(items.select("source", *keys, _fold(F.col("items"), seed + level, id_type).alias("f")))
+
+    def settled(f: DataFrame) -> DataFrame:
+        return f.select("source", F.explode("f.done").alias("d")).select("source", "d.*")
+
+    # huge documents trade among themselves; what is left of them is settled against all the others at once
+    f = folded(each.where(fraction & huge).select("source", F.struct("id", "k", "size", "p").alias("x")))
+    out = out.unionByName(settled(f))
+    pool = each.where(fraction & ~huge).groupBy(F.col("source").alias("s4")).agg(F.sum("size").alias("pool"), F.first("p").alias("q"))
+    x = F.col("f.left")
+    up, down = F.col("q") - x["size"] * (1 - x["p"]) / F.col("pool"), F.col("q") + x["size"] * x["p"] / F.col("pool")  # the others' fraction if it is taken, or not
+    taken = F.when((up >= 0) & ~(down <= 1), True).when(~(up >= 0) & (down <= 1), False).otherwise(_chance(F.lit(seed), F.lit(-2), x["id"], x["k"]) < x["p"])
+    shift = f.join(pool, F.col("source").eqNullSafe(F.col("s4")), "left").withColumn("taken", taken)
+    shift = checkpoint(shift.select("source", "f", "taken", F.least(F.greatest(F.when(F.col("taken"), up).otherwise(down), F.lit(0.0)), F.lit(1.0)).alias("q")))
+    out = out.unionByName(shift.select("source", "f.left.id", "f.left.k", "f.left.size", F.col("taken").cast("int").alias("bit")))
+    moved = shift.select(F.col("source").alias("s4"), "q")
+    moved = F.broadcast(moved) if few <= BROADCAST_SOURCES else moved
+    left = each.where(fraction & ~huge).join(moved, F.col("source").eqNullSafe(F.col("s4")), "left")
+    left = left.select("source", "class", "n", F.struct("id", "k", "size", F.coalesce("q", "p").alias("p")).alias("x"))
+    parts = F.greatest(F.ceil(F.col("n") / GROUP), F.lit(GROUP))  # so many groups, and residuals, of a class
+    while most > GROUP:
+        group = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), F.col("x.id"), F.col("x.k"), F.col("x.size")), parts)
+        f = folded(left.where(F.col("n") > GROUP).withColumn("g", group), "class", "n", "g")
+        out = out.unionByName(settled(f))
+        left = left.where(F.col("n") <= GROUP).unionByName(f.select("source", "class", parts.alias("n"), F.col("f.left").alias("x")))
+        most, level = max(-(-most // GROUP), GROUP), level + 1  # the most documents, then residuals, of a class
+    f = folded(left)
+    out = out.unionByName(settled(f))
+    left = f.select("source", F.col("f.left").alias("x"))
     # one residual per source: rounded at random
     last = left.select("source", F.col("x.id").alias("id"), F.col("x.k").alias("k"), F.col("x.size").alias("size"), (_chance(F.lit(seed), F.lit(-1), F.col("x.id"), F.col("x.k")) < F.col("x.p")).cast("int").alias("bit"))
     out = out.unionByName(last)
