@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from octetlake.llm import decontaminate, embedding_dedup, mixing, sharding, simhash, toxicity
+from octetlake.llm import decontaminate, embedding_dedup, mixing, sharding, simhash, toxicity, url_filter
 from octetlake.llm.common import table
 
 
@@ -27,9 +27,13 @@ def op6_simhash(spark, sf_dir):
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op8_url_filter(spark, sf_dir):
+    return url_filter.report(table(spark, sf_dir, "pages"))
+
+
 def op10_sharding(spark, sf_dir):
     return sharding.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_toxicity, op3_embedding_dedup, op4_mixing, op6_simhash, op10_sharding)}
-ORACLES = {"op1_decontaminate": decontaminate.SQL}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_toxicity, op3_embedding_dedup, op4_mixing, op6_simhash, op8_url_filter, op10_sharding)}
+ORACLES = {"op1_decontaminate": decontaminate.SQL, "op8_url_filter": url_filter.SQL}
