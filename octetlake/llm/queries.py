@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from octetlake.llm import decontaminate, embedding_dedup, mixing, sharding, simhash, toxicity, url_filter
+from octetlake.llm import decontaminate, embedding_dedup, license_scan, mixing, sharding, simhash, toxicity, url_filter
 from octetlake.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op4_mixing(spark, sf_dir):
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark, sf_dir):
+    return license_scan.report(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark, sf_dir):
     return simhash.report(table(spark, sf_dir, "documents"))
 
@@ -35,5 +39,5 @@ def op10_sharding(spark, sf_dir):
     return sharding.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_toxicity, op3_embedding_dedup, op4_mixing, op6_simhash, op8_url_filter, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_toxicity, op3_embedding_dedup, op4_mixing, op5_license_scan, op6_simhash, op8_url_filter, op10_sharding)}
 ORACLES = {"op1_decontaminate": decontaminate.SQL, "op8_url_filter": url_filter.SQL}
