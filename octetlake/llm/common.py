@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,17 +31,26 @@ def held_out(doc_id: Column | str) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage by writing to the cluster's shared checkpoint folder.
-
-    The folder is spark.checkpoint.dir where the cluster names one. Only where it is unset (tests,
-    notebooks on one machine) is a folder of this machine used.
-    """
-    spark = df.sparkSession
+def _shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder; only where spark.checkpoint.dir is unset (tests, one machine) a local one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="octetlake-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: for wide rows, which checkpoint() would store uncompressed."""
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage by writing to the shared checkpoint folder."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
