@@ -124,6 +124,39 @@ def _ecc(b: np.ndarray) -> int:
     return out
 
 
+def _big_end_around(b: np.ndarray) -> int:
+    s = int(_padded(b, 2).view(">u2").sum(dtype=np.int64))
+    while s >> 16:
+        s = (s & 0xFFFF) + (s >> 16)
+    return s
+
+
+#: Sum of big-endian 16-bit words with the carry added back.
+sum16_big_end_around = _of_bytes(_big_end_around)
+
+
+def signed_crc(start: int = 0):
+    """A reflected CRC-32 step over bytes that are taken as signed, from a given start, without inversion."""
+
+    def f(b: np.ndarray) -> int:
+        c = start
+        for x in b.astype(np.int8).tolist():
+            c ^= x & 0xFFFFFFFF
+            for _ in range(8):
+                c = (c >> 1) ^ (0xEDB88320 if c & 1 else 0)
+        return c
+
+    return _of_bytes(f)
+
+
+def _ecc_bytes(b: np.ndarray) -> int:
+    """Three ECC bytes as one number: inverted row parities (two bytes), inverted column parities and two ones."""
+    v = ~_ecc(b) & 0x3FFFFF
+    return ((v >> 6) << 8) | ((v & 0x3F) << 2) | 3
+
+
+#: The 3-byte NAND code of the first 256 bytes, as a 24-bit number.
+nand_ecc = _of_bytes(_ecc_bytes)
 #: Row and column parities of the first 256 bytes: bit 2k + 1 is the parity of bits whose place has bit k set, bit 2k of the others.
 nand_parity = _of_bytes(_ecc)
 

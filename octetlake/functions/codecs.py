@@ -132,3 +132,23 @@ def lzma_offsets(content: Column, full: bool = False, window: int = 64 << 10, le
         return pa.array(out, pa.list_(pa.struct([("offset", pa.int64()), ("n", pa.int64())])))
 
     return run(content)
+
+
+_ENCODERS: dict[str, Callable[[bytes], bytes]] = {
+    "gzip": lambda d: (lambda c: c.compress(d) + c.flush())(zlib.compressobj(6, zlib.DEFLATED, 31)),
+    "zlib": lambda d: zlib.compress(d),
+    "deflate": lambda d: (lambda c: c.compress(d) + c.flush())(zlib.compressobj(6, zlib.DEFLATED, -15)),
+    "xz": lambda d: lzma.compress(d, lzma.FORMAT_XZ, preset=1),
+    "lzma": lambda d: lzma.compress(d, lzma.FORMAT_ALONE, preset=1),
+    "bzip2": lambda d: bz2.compress(d),
+}
+
+
+def encode_by(codec: Column, content: Column) -> Column:
+    """Compress each value by the codec named in its row; null for an unknown name."""
+
+    @F.arrow_udf(T.BinaryType())
+    def run(names: pa.Array, col: pa.Array) -> pa.Array:
+        return pa.array([_ENCODERS[n](v) if n in _ENCODERS and v is not None else None for n, v in zip(names.to_pylist(), col.to_pylist(), strict=True)], pa.binary())
+
+    return run(codec, content)

@@ -103,10 +103,12 @@ def repair_uimage(content: Column) -> Column:
 
 
 def repair_dlob(content: Column) -> Column:
-    """The MD5 of the data, put where the header's size says that it ends less 16 bytes."""
-    head = lens.integer(content, 4, 4)
-    data = _cut(content, head, head + lens.integer(content, 8, 4))
-    return place(content, head - 16, F.unhex(F.md5(data)), 16)
+    """The MD5 of the data under the second header, put right behind that header; an image without one stays as it is."""
+    second = 12 + lens.integer(content, 4, 4) + lens.integer(content, 8, 4)
+    start = second + 12 + lens.integer(content, (second + 4).cast("int"), 4) + 16
+    stop = start + lens.integer(content, (second + 8).cast("int"), 4)
+    there = (second + 12 <= F.octet_length(content)) & (stop <= F.octet_length(content))
+    return F.when(there, place(content, second + 12, F.unhex(F.md5(_cut(content, start, stop))), 16)).otherwise(content)
 
 
 def repair(content: Column) -> Column:
