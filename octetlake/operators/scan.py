@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from octetlake.functions import lens
 from octetlake.operators.rules import Rule, compile_rule, default_rules
+from octetlake.plans.shared import checkpoint
 
 _CANDIDATES = T.ArrayType(T.StructType([T.StructField("rule", T.IntegerType()), T.StructField("offset", T.LongType())]))
 
@@ -84,10 +85,13 @@ def candidates(blobs: DataFrame, rules: list[Rule]) -> DataFrame:
 def evaluate(found: DataFrame, rules: list[Rule], keep_invalid: bool = False) -> DataFrame:
     """Candidates with what their rules say: title, confidence, description, valid, size, jump, adjust, name, many, once."""
     at = F.col("offset")
-    result = F.lit(None)
-    for k, r in reversed(list(enumerate(rules))):
-        result = F.when(F.col("rule") == k, compile_rule(r, F.col("content"), at)).otherwise(result)
     pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("rule"))
+    plain = [len(r.lines) == 1 and not r.tags.keys() & {"size", "jump", "adjust", "invalid", "name"} and "%" not in r.lines[0].text for r in rules]
+    none, n = F.lit(None), F.lit(None).cast("long")
+    result = F.struct(pick([r.lines[0].text for r in rules]).alias("description"), F.lit(True).alias("valid"), n.alias("size"), n.alias("jump"), n.alias("adjust"), none.cast("string").alias("name"))
+    for k, r in enumerate(rules):
+        if not plain[k]:
+            result = F.when(F.col("rule") == k, compile_rule(r, F.col("content"), at)).otherwise(result)
     rows = found.withColumn("r", result).withColumn("n", F.octet_length("content")).drop("content")
     bounds = (at + F.coalesce("r.size", F.lit(0)) <= F.col("n")) & (at + F.coalesce("r.jump", F.lit(0)) <= F.col("n"))
     rows = rows.select(
@@ -160,7 +164,8 @@ def scan(blobs: DataFrame, rules: list[Rule] | None = None, include: list[str] |
         hits = hits.where(F.lower("description").rlike(p.lower())) if len(include) == 1 else hits
     for p in exclude or ():
         hits = hits.where(~F.lower("description").rlike(p.lower()))
-    hits = once(winners(hits))
+    hits = checkpoint(winners(hits))  # narrow rows; what follows reads them several times
+    hits = once(hits)
     if not dumb:
         hits = follow_jumps(hits)
     return suppress_runs(hits)

@@ -61,7 +61,7 @@ HTML_RULES = r"""
 
 def _sql_offsets(lit: str, table: str = "pages", key: str = "page_id", col: str = "html") -> str:
     n = len(lit.encode())
-    return f"""SELECT {key}, CAST(list_sum(list_transform(parts[1:i], x -> strlen(x))) + (i - 1) * {n} AS BIGINT) AS "offset", parts[i + 1] AS rest
+    return f"""SELECT {key}, CAST(list_sum(list_transform(parts[1:i], lambda x: strlen(x))) + (i - 1) * {n} AS BIGINT) AS "offset", parts[i + 1] AS rest
 FROM (SELECT {key}, string_split({col}, '{lit}') AS parts FROM {table} WHERE contains({col}, '{lit}')), unnest(generate_series(1, len(parts) - 1)) AS t(i)"""
 
 
@@ -78,10 +78,10 @@ def html_footer_scan(spark, d):
     return hits.select(F.col("file_id").alias("page_id"), "offset", F.concat(F.lit("0x"), F.hex("offset")).alias("hexadecimal"))
 
 
-@query("""SELECT page_id, path, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?:/[A-Za-z0-9_.-]+){2,}')) AS path FROM pages) GROUP BY ALL""")
+@query("""SELECT page_id, path, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?:/[A-Za-z0-9_.-]+)+')) AS path FROM pages) GROUP BY ALL""")
 def unix_path_scan(spark, d):
     chars = lens.lens(F.col("content"))
-    found = F.regexp_extract_all(chars, F.lit(r"(?d)((?:/[A-Za-z0-9_.-]+){2,})"), F.lit(1))
+    found = F.regexp_extract_all(chars, F.lit(r"(?d)((?:/[A-Za-z0-9_.-]+)+)"), F.lit(1))
     return _pages(spark, d).select(F.col("file_id").alias("page_id"), F.explode(found).alias("path")).groupBy("page_id", "path").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -220,8 +220,8 @@ def byte_tuple_topk(spark, d):
     return stats.tuple_counts(_docs(spark, d), 1000)
 
 
-@query(r"""SELECT page_id, CAST(len(s) AS BIGINT) AS n_strings, CAST(coalesce(list_sum(list_transform(s, x -> strlen(x))), 0) AS BIGINT) AS n_bytes FROM
-(SELECT page_id, list_filter(regexp_extract_all(html, '([\x09-\x0d\x20-\x7e]{10,})[^\x09-\x0d\x20-\x7e]', 1), x -> true) AS s FROM pages WHERE html IS NOT NULL)""")
+@query(r"""SELECT page_id, CAST(len(s) AS BIGINT) AS n_strings, CAST(coalesce(list_sum(list_transform(s, lambda x: strlen(x))), 0) AS BIGINT) AS n_bytes FROM
+(SELECT page_id, list_filter(regexp_extract_all(html, '([\x09-\x0d\x20-\x7e]{10,})[^\x09-\x0d\x20-\x7e]', 1), lambda x: true) AS s FROM pages WHERE html IS NOT NULL)""")
 def printable_strings(spark, d):
     found = lens.strings(lens.lens(F.col("content")), 10)
     total = F.aggregate(found, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
@@ -414,7 +414,7 @@ def _packed_events(spark, d):
     """Events as 13-byte records: id big-endian, user little-endian, kind one byte."""
     e = _t(spark, d, "events")
     record = encode_struct("event", {"event_id": F.col("event_id"), "user_id": F.col("user_id"), "kind": F.length("event_type")})
-    return e.select("event_id", F.unix_seconds("ts").alias("epoch"), record.alias("content"))
+    return e.select("event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("epoch"), record.alias("content"))
 
 
 @query("SELECT event_id AS key, event_id, user_id, CAST(length(event_type) AS BIGINT) AS kind, CAST(0 AS BIGINT) AS beyond FROM events")
