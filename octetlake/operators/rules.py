@@ -167,7 +167,9 @@ def _printf(text: str, value: Column, kind: str) -> Column:
     f = re.sub(r"[lh]", "", spec[0])
     f = f[:-1] + {"i": "d", "u": "d"}.get(f[-1], f[-1])
     head, tail = (text[: spec.start()].replace("%%", "%").replace("%", "%%"), text[spec.end() :].replace("%%", "%").replace("%", "%%"))
-    if f[-1] == "s" or kind in ("string", "regex", "date"):
+    if f[-1] == "c" and kind in WIDTHS:  # the character of the low byte
+        f, value = f[:-1] + "s", F.char(value)
+    elif f[-1] == "s" or kind in ("string", "regex", "date"):
         f, value = "%s", value.cast("string")
     return F.format_string(head + f + tail, value)
 
