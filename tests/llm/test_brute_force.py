@@ -11,8 +11,8 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from octetlake.llm import queries, simhash
-from octetlake.llm.common import table
+from octetlake.llm import queries, simhash, toxicity
+from octetlake.llm.common import table, written
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 UPPER = str.maketrans({c: c + 32 for c in range(65, 91)})
@@ -47,22 +47,28 @@ def roots(n, pairs):
     return [find(i) for i in range(n)]
 
 
-def test_op1(spark, sf_dir, docs):
+def brute_contamination(docs, items):
+    """doc_id: (words, hit words, items, digest of the items, contaminated)."""
     grams = defaultdict(set)
-    for r in table(spark, sf_dir, "benchmark").collect():
+    for r in items:
         w = words(r.text)
         for i in range(max(1, len(w) - 12) if w else 0):
             grams[tuple(w[i : i + 13])].add(str(r.item_id))
     lens, want = {len(g) for g in grams}, {}
     for r in docs:
-        w, hit, items = words(r.text), set(), set()
+        w, hit, found = words(r.text), set(), set()
         for n in lens:
             for i in range(len(w) - n + 1):
                 if (g := tuple(w[i : i + n])) in grams:
                     hit |= set(range(i, i + n))
-                    items |= grams[g]
-        digest = hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
-        want[r.doc_id] = (len(w), len(hit), len(items), digest, bool(hit) and 20 * len(hit) >= len(w))
+                    found |= grams[g]
+        digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+        want[r.doc_id] = (len(w), len(hit), len(found), digest, bool(hit) and 20 * len(hit) >= len(w))
+    return want
+
+
+def test_op1(spark, sf_dir, docs):
+    want = brute_contamination(docs, table(spark, sf_dir, "benchmark").collect())
     got = {r[0]: tuple(r)[1:] for r in queries.op1_decontaminate(spark, sf_dir).collect()}
     assert got == want
 
@@ -82,7 +88,8 @@ def test_op3(spark, sf_dir):
     assert sum(got[k] == want[k] for k in want) >= 0.95 * len(want)
 
 
-def test_op4(spark, sf_dir, docs):
+def brute_targets(docs):
+    """Words of each document, of each source, and each source's target."""
     size = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in docs}
     per = Counter()
     for r in docs:
@@ -98,7 +105,11 @@ def test_op4(spark, sf_dir, docs):
         free -= over
         if not over:
             break
-    target |= {s: level * weight[s] for s in free}
+    return size, per, target | {s: level * weight[s] for s in free}
+
+
+def test_op4(spark, sf_dir, docs):
+    size, per, target = brute_targets(docs)
     got = queries.op4_mixing(spark, sf_dir).collect()
     assert sorted(got) == sorted(queries.op4_mixing(spark, sf_dir).collect())
     source, taken = {r.doc_id: r.source for r in docs}, Counter()
@@ -204,18 +215,36 @@ def test_op10(spark, sf_dir, docs):
 
 
 def test_pipeline(spark, sf_dir):
-    """Each stage against what the brute-force rules above say of its own input."""
-    d = table(spark, sf_dir, "documents")
-    kept = d
-    for name, stage in corpus_pipeline.STAGES[:3]:
-        before = kept.collect()
-        kept = stage(spark, kept, sf_dir)
-        after = {r.doc_id for r in kept.collect()}
-        assert after <= {r.doc_id for r in before}
-        if name.startswith("simhash"):
-            rows = sorted(before, key=lambda r: r.doc_id)
+    """Each stage against the rules above on its own input; toxicity against the operator's own scores."""
+    kept = table(spark, sf_dir, "documents")
+    for name, stage in corpus_pipeline.STAGES:
+        rows = sorted(kept.collect(), key=lambda r: r.doc_id)
+        out = written(stage(spark, kept, sf_dir))
+        got = out.collect()
+        after, by = Counter(r.doc_id for r in got), {r.doc_id: r for r in rows}
+        if name == "sharding":
+            assert after == Counter(r.doc_id for r in rows) and {r.shard for r in got} <= set(range(24))
+            slots = defaultdict(list)
+            for r in got:
+                slots[r.shard].append(r.slot)
+            assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+            continue
+        assert out.columns == kept.columns and all(r == by[r.doc_id] for r in got)
+        if name == "toxicity":
+            scores = toxicity.report(kept, table(spark, sf_dir, "labels")).collect()
+            assert after == Counter(r.doc_id for r in scores if r.score < 0.5)
+        elif name == "simhash_near_dedup":
             fp = [brute_print(r.text) for r in rows]
             top = roots(len(fp), [(i, j) for i in range(len(fp)) for j in range(i) if (fp[i] ^ fp[j]).bit_count() <= 2])
-            assert after == {rows[k].doc_id for k in set(top)}
-    out = corpus_pipeline.run(spark, sf_dir).collect()
-    assert out and {r.shard for r in out} <= set(range(24))
+            assert after == Counter(rows[k].doc_id for k in set(top))
+        elif name == "benchmark_decontamination":
+            want = brute_contamination(rows, table(spark, sf_dir, "benchmark").collect())
+            assert after == Counter(k for k, v in want.items() if not v[4])
+        else:
+            size, per, target = brute_targets(rows)
+            taken = Counter()
+            for k, n in after.items():
+                assert n <= 3
+                taken[by[k].source] += n * size[k]
+            assert all(abs(taken[s] - target[s]) <= max(size[k] for k in by if by[k].source == s) for s in per)
+        kept = out
