@@ -2,9 +2,11 @@
 
 A bounded sample gives principal axes and, from several random starts, rotations that iterative
 quantisation turns until the signs of the rotated vectors lose least (balanced binary codes). The
-code is cut into TABLES substrings of about log2(distinct vectors) bits, one hash table each: two
-codes within TABLES - 1 bits agree on a substring, so they meet in a table. Every meeting is reranked
-with the original vectors in double precision.
+code is cut into substrings of about log2(distinct vectors) bits, one hash table each: two vectors meet
+if their codes agree on a substring. Longer substrings agree more rarely, so the number of tables
+follows from the recall: pairs at exactly the threshold are planted in the sample, and tables are added
+(TABLES at least) until RECALL of them meet; if MAX_TABLES are not enough, substrings get shorter and
+buckets larger. Every meeting is reranked with the original vectors in double precision.
 
 Equal vectors are one row (with their number) from the start. A bucket is compared block by block,
 and only per-vector counts and a spanning star of its links leave it, never its pairs; a pair that
@@ -28,6 +30,9 @@ from octetlake.llm.common import checkpoint
 from octetlake.llm.components import connected_components
 
 TABLES = 36
+MAX_TABLES = 256
+RECALL = 0.95  # of pairs at the threshold itself; closer pairs meet more often
+PLANTED = 2_000
 FIT_ROWS = 5_000
 MAX_AXES = 256
 
@@ -40,14 +45,38 @@ class Quantiser:
     matrix: np.ndarray
     bits: int  # of a table
 
+    @property
+    def tables(self) -> int:
+        return self.matrix.shape[1] // self.bits
+
     def keys(self, unit: np.ndarray) -> np.ndarray:
         """The key of each vector (rows) in each table (columns)."""
-        code = ((unit - self.mean) @ self.matrix > 0).reshape(len(unit), TABLES, self.bits)
-        return code @ (1 << np.arange(self.bits, dtype=np.int64))
-
-
-def fit_itq(sample: np.ndarray, bits: int, rounds: int = 30, seed: int = 3) -> Quantiser:
-    """Principal axes of unit vectors and as many quantising rotations of them as the code needs."""
+        out = np.empty((len(unit), self.tables), dtype=np.int64)
+        for at in range(0, len(unit), 1024):
+            code = ((unit[at : at + 1024] - self.mean) @ self.matrix > 0).reshape(-1, self.tables, self.bits)
+            out[at : at + 1024] = code @ (1 << np.arange(self.bits, dtype=np.int64))
+        return out
+
+
+def _planted(sample: np.ndarray, dim: int, threshold: float, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Two sets of pairs at cosine threshold: sample vectors turned in any direction, and towards other sample vectors."""
+    rng, out = np.random.default_rng(seed), []
+    if not len(sample):
+        sample = rng.standard_normal((PLANTED, dim))
+        sample /= np.linalg.norm(sample, axis=1, keepdims=True)
+    for other in (rng.standard_normal((PLANTED, dim)), sample[rng.integers(len(sample), size=PLANTED)]):
+        x = sample[rng.integers(len(sample), size=PLANTED)]
+        side = other - (other * x).sum(axis=1, keepdims=True) * x
+        length = np.linalg.norm(side, axis=1)
+        ok = length > 1e-6  # else the other is x itself, or there is no other direction
+        if ok.any():
+            x, side = x[ok], side[ok] / length[ok, None]
+            out.append((x, threshold * x + np.sqrt(max(0.0, 1 - threshold * threshold)) * side))
+    return out
+
+
+def fit_itq(sample: np.ndarray, bits: int, rounds: int = 30, seed: int = 3, threshold: float = 0.9) -> Quantiser:
+    """Principal axes of unit vectors and as many quantising rotations of them as the recall needs; bits may become fewer."""
     rng = np.random.default_rng(seed)
     dim = sample.shape[1]
     mean = sample.mean(axis=0) if len(sample) else np.zeros(dim)
@@ -55,13 +84,26 @@ def fit_itq(sample: np.ndarray, bits: int, rounds: int = 30, seed: int = 3) -> Q
     _, vectors = np.linalg.eigh(centred.T @ centred)
     axes = vectors[:, ::-1][:, :MAX_AXES]
     flat, parts = centred @ axes, []
-    while sum(p.shape[1] for p in parts) < bits * TABLES:
-        turn, _ = np.linalg.qr(rng.standard_normal((axes.shape[1], axes.shape[1])))
-        for _ in range(rounds if len(sample) else 0):
-            u, _, v = np.linalg.svd(np.where(flat @ turn > 0, 1.0, -1.0).T @ flat)
-            turn = (u @ v).T
-        parts.append(axes @ turn)
-    return Quantiser(mean, np.concatenate(parts, axis=1)[:, : bits * TABLES], bits)
+    pairs = [((x - mean) @ axes, (y - mean) @ axes) for x, y in _planted(sample, dim, threshold, seed)]
+    same = []  # of each rotation: in which bits the vectors of each pair agree
+    while True:
+        met, tables = [np.zeros(len(x), dtype=bool) for x, _ in pairs], 0
+        while tables < TABLES or (tables < MAX_TABLES and min((m.mean() for m in met), default=1.0) < RECALL):
+            while sum(p.shape[1] for p in parts) < bits * (tables + 1):
+                turn, _ = np.linalg.qr(rng.standard_normal((axes.shape[1], axes.shape[1])))
+                for _ in range(rounds if len(sample) else 0):
+                    u, _, v = np.linalg.svd(np.where(flat @ turn > 0, 1.0, -1.0).T @ flat)
+                    turn = (u @ v).T
+                parts.append(axes @ turn)
+                same.append([(x @ turn > 0) == (y @ turn > 0) for x, y in pairs])
+            width = axes.shape[1]
+            place = range(bits * tables, bits * (tables + 1))
+            for k, m in enumerate(met):
+                m |= np.all([same[j // width][k][:, j % width] for j in place], axis=0)
+            tables += 1
+        if bits == 1 or min((m.mean() for m in met), default=1.0) >= RECALL:
+            return Quantiser(mean, np.concatenate(parts, axis=1)[:, : bits * tables], bits)
+        bits -= 1
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -125,13 +167,14 @@ def _valid(v) -> F.Column:
     return F.coalesce((F.size(v) > 0) & fine & F.exists(x, lambda e: F.coalesce(e != 0, F.lit(False))), F.lit(False))
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", cap: int = 2048) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", cap: int = 2048, bits: int | None = None) -> DataFrame:
     """One row per row of vectors: (vec_id, n_links, component_id).
 
     n_links counts the other rows at cosine >= threshold; component_id is the smallest id links
     reach. Vectors that are null, empty or zero, hold nulls, NaN or infinities, or are not of the
     commonest length link with nothing. A null id keeps its row and is no component's id while
-    another member has one. Repeated ids and rows count as rows of their own.
+    another member has one. Repeated ids and rows count as rows of their own. bits of a table follow
+    from the number of vectors unless given.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("vector"))
@@ -143,10 +186,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     distinct = rows.where(good).groupBy("vector").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"))
     distinct = checkpoint(distinct.withColumn("id", F.monotonically_increasing_id()))
     count = distinct.count()
-    bits = min(30, max(8, round(math.log2(count)) + 1))
+    bits = bits or min(30, max(8, round(math.log2(count)) + 1))
     share = min(1.0, FIT_ROWS / count)
     sample = distinct.where(F.pmod(F.xxhash64("vector"), F.lit(1 << 20)) < int(share * (1 << 20))).select("vector").limit(2 * FIT_ROWS).toArrow()
-    quantiser = fit_itq(_matrix(sample.column("vector")) if len(sample) else np.zeros((0, common["dim"])), bits)
+    quantiser = fit_itq(_matrix(sample.column("vector")) if len(sample) else np.zeros((0, common["dim"])), bits, threshold=threshold)
     sent = spark.sparkContext.broadcast(quantiser)
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
@@ -154,7 +197,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
         if len(col) == 0:
             return pa.array([], pa.list_(pa.int64()))
         k = sent.value.keys(_matrix(col))
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(k) + 1, dtype=np.int32) * TABLES), pa.array(k.ravel()))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(k) + 1, dtype=np.int32) * k.shape[1]), pa.array(k.ravel()))
 
     coded = checkpoint(distinct.select("id", "n", "vector", keys_of("vector").alias("keys")))
     slots = coded.select("id", F.posexplode("keys").alias("table", "key"))
