@@ -108,3 +108,12 @@ def test_urls(spark):
     assert got[9] == ("example.net", "/de/8", "example.net/de/8", "block")
     assert got[10][2:] == (None, "block") and got[11][1:3] == ("", None)
     assert url_filter.report(pages.limit(0)).count() == 0
+
+
+def test_simhash_keeps_one_row_of_each_group(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(None, a, "en", "s", 1), (None, b, "en", "s", 1), (5, c, "en", "s", 1), (5, d, "en", "s", 1), (6, c, "en", "s", 1), (7, c, "en", "s", 1)]
+    rows += [(7, "text of its own under seven", "en", "s", 1)] * 2 + [(8, "", "en", "s", 1), (8, None, "en", "s", 1)]
+    got = simhash.drop_near_duplicates(_docs(spark, rows))
+    kept = sorted((str(r.doc_id), r.text or "") for r in got.collect())
+    assert kept == sorted([("None", a), ("None", b), ("5", c), ("5", d), ("7", "text of its own under seven"), ("8", "")])
