@@ -161,6 +161,44 @@ nand_ecc = _of_bytes(_ecc_bytes)
 nand_parity = _of_bytes(_ecc)
 
 
+_PARITY = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(axis=1).astype(np.uint8) & 1
+
+
+def _eccs(b: np.ndarray) -> np.ndarray:
+    """_ecc of each block of 256 bytes, the last one padded with zeros."""
+    out = np.zeros(-(-len(b) // 256), dtype=np.int64)
+    for at in range(0, len(out), 4096):
+        block = _padded(b[256 * at : 256 * (at + 4096)], 256).reshape(-1, 256)
+        odd_bytes, column = _PARITY[block], np.bitwise_xor.reduce(block, axis=1)
+        rows = np.bitwise_xor.reduce(odd_bytes * np.arange(256, dtype=np.uint8), axis=1)
+        part, total = np.zeros(len(block), dtype=np.int64), _PARITY[column].astype(np.int64)
+        for k in range(11):
+            odd = _PARITY[column & (0xAA, 0xCC, 0xF0)[k]] if k < 3 else (rows >> (k - 3)) & 1
+            part |= odd.astype(np.int64) << (2 * k + 1) | (total ^ odd) << (2 * k)
+        out[at : at + 4096] = part
+    return out
+
+
+def _of_blocks(f: Callable[[np.ndarray], np.ndarray]) -> Callable[[Column], Column]:
+    """The numbers of each value's blocks as an array of bigint; null stays null."""
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def run(col: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else f(np.frombuffer(v, dtype=np.uint8)) for v in col.to_pylist()], pa.list_(pa.int64()))
+
+    return run
+
+
+def _eccs_bytes(b: np.ndarray) -> np.ndarray:
+    v = ~_eccs(b) & 0x3FFFFF
+    return ((v >> 6) << 8) | ((v & 0x3F) << 2) | 3
+
+
+#: nand_ecc and nand_parity of every block of 256 bytes, as arrays in the order of the blocks.
+nand_ecc_blocks = _of_blocks(_eccs_bytes)
+nand_parity_blocks = _of_blocks(_eccs)
+
+
 def xor_mask(content: Column, key: bytes, offset: int = 0) -> Column:
     """The content XORed with a repeating key that begins at offset."""
     k = np.frombuffer(key, dtype=np.uint8)

@@ -275,9 +275,18 @@ def xor_mask_roundtrip(spark, d):
 @query(f"""SELECT doc_id, CAST({' + '.join(f"(sum(CASE WHEN ({k} < 3 AND ((j >> {min(k, 2)}) & 1) = {o}) OR ({k} >= 3 AND ((i >> {max(k - 3, 0)}) & 1) = {o}) THEN (b >> j) & 1 ELSE 0 END) % 2) * {1 << (2 * k + o)}" for k in range(11) for o in (0, 1))} AS BIGINT) AS checksum
 FROM ({_sql_bytes()}), unnest(generate_series(0, 7)) AS u(j) WHERE i < 256 GROUP BY doc_id""")
 def nand_parity(spark, d):
+    """Of the first 256 bytes alone, as its twin has it; nand_parity_blocks takes the whole text."""
     return _checksum(cs.nand_parity)(spark, d)
 
 
+@query(f"""SELECT doc_id, CAST(i // 256 AS BIGINT) AS block_id, CAST({' + '.join(f"(sum(CASE WHEN ({k} < 3 AND ((j >> {min(k, 2)}) & 1) = {o}) OR ({k} >= 3 AND ((i >> {max(k - 3, 0)}) & 1) = {o}) THEN (b >> j) & 1 ELSE 0 END) % 2) * {1 << (2 * k + o)}" for k in range(11) for o in (0, 1))} AS BIGINT) AS checksum
+FROM ({_sql_bytes()}), unnest(generate_series(0, 7)) AS u(j) GROUP BY doc_id, i // 256""")
+def nand_parity_blocks(spark, d):
+    """One row for each block of 256 bytes of each document."""
+    parts = _docs(spark, d).select(F.col("file_id").alias("doc_id"), F.posexplode(cs.nand_parity_blocks(F.col("content"))).alias("block_id", "checksum"))
+    return parts.withColumn("block_id", F.col("block_id").cast("long"))
+
+
 @query()
 def crc_family(spark, d):
     """CRC variants; DuckDB has none, so tests hold them against zlib and published check values."""

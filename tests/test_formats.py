@@ -6,6 +6,7 @@ import lzma
 import struct
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +71,16 @@ def test_printf_and_rules(spark):
 
 def test_scan_of_nothing(blobs):
     assert scan.scan(blobs.limit(0)).count() == 0
+
+
+def test_nand_code_of_every_block(spark):
+    from octetlake.functions import checksums as cs
+
+    rng = np.random.default_rng(5)
+    data = [rng.integers(0, 256, n, dtype=np.uint8).tobytes() for n in (1, 255, 256, 257, 700, 256 * 4097 + 3)] + [b"", None]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(data)], "i int, b binary")
+    got = df.select("i", cs.nand_parity_blocks(F.col("b")).alias("p"), cs.nand_ecc_blocks(F.col("b")).alias("e")).orderBy("i").collect()
+    for r, b in zip(got, data, strict=True):
+        parts = None if b is None else [np.frombuffer(b[k : k + 256], dtype=np.uint8) for k in range(0, len(b), 256)]
+        assert r.p == (None if b is None else [cs._ecc(x) for x in parts])
+        assert r.e == (None if b is None else [cs._ecc_bytes(x) for x in parts])
