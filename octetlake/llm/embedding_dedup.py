@@ -171,25 +171,32 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     """One row per row of vectors: (vec_id, n_links, component_id).
 
     n_links counts the other rows at cosine >= threshold; component_id is the smallest id links
-    reach. Vectors that are null, empty or zero, hold nulls, NaN or infinities, or are not of the
-    commonest length link with nothing. A null id keeps its row and is no component's id while
+    reach. Vectors that are null, empty or zero, or hold nulls, NaN or infinities link with nothing;
+    the others link with vectors of their own length. A null id keeps its row and is no component's id while
     another member has one. Repeated ids and rows count as rows of their own. bits of a table follow
     from the number of vectors unless given.
     """
-    spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("vector"))
     rows = rows.withColumn("dim", F.when(_valid(F.col("vector")), F.size("vector")).otherwise(0))
-    common = rows.where("dim > 0").groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
-    if common is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    good = F.col("dim") == common["dim"]
-    distinct = rows.where(good).groupBy("vector").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    out = rows.where("dim = 0").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    for r in rows.where("dim > 0").select("dim").distinct().orderBy("dim").collect():
+        out = out.unionByName(_linked(rows.where(F.col("dim") == r["dim"]), r["dim"], threshold, cap, bits))
+    return out
+
+
+def _linked(rows: DataFrame, dim: int, threshold: float, cap: int, bits: int | None) -> DataFrame:
+    """near_duplicates of rows (vec_id, vector), all of one length."""
+    spark = rows.sparkSession
+    distinct = rows.groupBy("vector").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"))
     distinct = checkpoint(distinct.withColumn("id", F.monotonically_increasing_id()))
     count = distinct.count()
-    bits = bits or min(30, max(8, round(math.log2(count)) + 1))
-    share = min(1.0, FIT_ROWS / count)
-    sample = distinct.where(F.pmod(F.xxhash64("vector"), F.lit(1 << 20)) < int(share * (1 << 20))).select("vector").limit(2 * FIT_ROWS).toArrow()
-    quantiser = fit_itq(_matrix(sample.column("vector")) if len(sample) else np.zeros((0, common["dim"])), bits, threshold=threshold)
+    if bits is None and count <= cap:  # one block: all are compared
+        quantiser = Quantiser(np.zeros(dim), np.zeros((dim, 1)), 1)
+    else:
+        bits = bits or min(30, max(8, round(math.log2(count)) + 1))
+        share = min(1.0, FIT_ROWS / count)
+        sample = distinct.where(F.pmod(F.xxhash64("vector"), F.lit(1 << 20)) < int(share * (1 << 20))).select("vector").limit(2 * FIT_ROWS).toArrow()
+        quantiser = fit_itq(_matrix(sample.column("vector")) if len(sample) else np.zeros((0, dim)), bits, threshold=threshold)
     sent = spark.sparkContext.broadcast(quantiser)
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
@@ -215,9 +222,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     named = distinct.join(links, "id", "left").join(roots, "id", "left").withColumn("top", F.coalesce("top", "id"))
     least = named.groupBy("top").agg(F.min("least").alias("component_id"))
     named = checkpoint(named.join(least, "top").select("vector", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id"))
-    linked = rows.where(good).join(named, "vector").select("vec_id", "n_links", "component_id")
-    alone = rows.where(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone)
+    return rows.join(named, "vector").select("vec_id", "n_links", "component_id")
 
 
 def report(vectors: DataFrame) -> DataFrame:

@@ -117,3 +117,12 @@ def test_simhash_keeps_one_row_of_each_group(spark):
     got = simhash.drop_near_duplicates(_docs(spark, rows))
     kept = sorted((str(r.doc_id), r.text or "") for r in got.collect())
     assert kept == sorted([("None", a), ("None", b), ("5", c), ("5", d), ("7", "text of its own under seven"), ("8", "")])
+
+
+def test_vectors_of_two_lengths(spark):
+    rows = [(i, [1.0, float(i), 0.0]) for i in range(10, 20, 5)] + [(30 + i, [1.0, 0.01 * i]) for i in range(2)] + [(40, [1.0, 0.0]), (50, [2.0]), (51, [3.0])]
+    rows += [(60 + i, [float(i % 7), 1.0, float(i % 5)]) for i in range(20)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.report(v).collect()}
+    assert len(got) == len(rows)
+    assert [got[k] for k in (30, 31, 40)] == [(2, 30)] * 3 and [got[k] for k in (50, 51)] == [(1, 50)] * 2
