@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from octetlake.llm.common import checkpoint
+from octetlake.llm.common import checkpoint, positive
+from octetlake.llm.common import threshold as threshold_of
 from octetlake.llm.components import connected_components
 
 TABLES = 36
@@ -194,8 +195,7 @@ def _linked(rows: DataFrame, dim: int, threshold: float, cap: int, bits: int | N
         quantiser = Quantiser(np.zeros(dim), np.zeros((dim, 1)), 1)
     else:
         bits = bits or min(30, max(8, round(math.log2(count)) + 1))
-        share = min(1.0, FIT_ROWS / count)
-        sample = distinct.where(F.pmod(F.xxhash64("vector"), F.lit(1 << 20)) < int(share * (1 << 20))).select("vector").limit(2 * FIT_ROWS).toArrow()
+        sample = distinct.where(positive(F.xxhash64("vector")) < threshold_of(min(1.0, FIT_ROWS / count))).select("vector").limit(2 * FIT_ROWS).toArrow()
         quantiser = fit_itq(_matrix(sample.column("vector")) if len(sample) else np.zeros((0, dim)), bits, threshold=threshold)
     sent = spark.sparkContext.broadcast(quantiser)
 

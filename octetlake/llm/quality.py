@@ -214,6 +214,6 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
 
 
 def report(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted (score >= threshold), for every row of docs."""
+    """doc_id, held_out, score, predicted (score >= threshold), for every row of docs; a null id is not held out."""
     out = docs.select("doc_id", held_out("doc_id").alias("held_out"), score(docs, fit(docs, labels)).alias("score"))
     return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from octetlake.llm.common import checkpoint
+from octetlake.llm.common import checkpoint, row_hash, spare
 from octetlake.llm.components import connected_components
 
 SEED = 42
@@ -141,27 +141,22 @@ def report(docs: DataFrame) -> DataFrame:
     )
 
 
-def _row_hash(docs: DataFrame) -> Column:
-    """A hash of the whole row; nulls count with their place. Maps, which cannot be hashed, are left out."""
-    return F.xxhash64(*[x for c, kind in docs.dtypes if "map<" not in kind for x in (docs[c].isNull(), docs[c])])
-
-
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r: int = 2) -> DataFrame:
     """docs with one row of each group: the one with the smallest id, then fingerprint, then row hash. Columns stay as they are.
 
     Null ids come last. Different texts of one id, or of null ids, are rows of their own. Only the id and
     the row hash are joined back to the rows; of rows equal in both one stays.
     """
-    tmp, row = "__kept_id", "__row_hash"
-    prints = docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col)).alias("fp"), _row_hash(docs).alias("h"))
+    tmp, row = spare(docs, "__kept_id"), spare(docs, "__row_hash")
+    prints = docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col)).alias("fp"), row_hash(docs).alias("h"))
     rows = prints.groupBy("doc_id", "fp", "h").agg(F.count(F.lit(1)).alias("n"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "n"))
     best = checkpoint(rows.groupBy("fp").agg(best.alias("b")).select("fp", "b.*"))
     roots = connected_components(fingerprint_links(best.select("fp"), r)).select(F.col("node").alias("fp"), "root")
     first = F.min(F.struct("none", "doc_id", "fp", "h", "n"))
     kept = best.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(first.alias("b"))
-    kept = checkpoint(kept.select(F.col("b.doc_id").alias(tmp), F.col("b.h").alias("h"), F.col("b.n").alias("n")))
-    out = docs.withColumn(row, _row_hash(docs))
+    kept = checkpoint(kept.select(F.col("b.doc_id").alias(tmp), F.col("b.h").alias("h"), F.col("b.n").alias("n")))  # one row of each group
+    out = docs.withColumn(row, row_hash(docs))
     out = out.join(kept.select(tmp, "h"), out[id_col].eqNullSafe(kept[tmp]) & (out[row] == kept["h"]), "left_semi")
     if kept.where("n > 1").limit(1).count():
         out = out.dropDuplicates([id_col, row])

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from octetlake.llm import wordscan
-from octetlake.llm.common import checkpoint, held_out, labelled_texts
+from octetlake.llm.common import checkpoint, held_out, labelled_texts, spare
 
 #: Bits of the index ranges of words, pairs and skip pairs.
 BITS = (20, 19, 19)
@@ -171,5 +171,5 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """docs without those scored at threshold or above; columns stay as they are. Null and empty texts have the score of the bias."""
-    tmp = "__toxicity"
+    tmp = spare(docs, "__toxicity")
     return docs.withColumn(tmp, score(docs, fit(docs, labels))).where(F.col(tmp) < threshold).select(*docs.columns)
