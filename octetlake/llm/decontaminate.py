@@ -5,9 +5,10 @@ window). Their 64-bit hashes form a sorted array that is broadcast; the document
 looked up there, each hit is verified word by word, and words covered by verified windows are hit.
 No text is shuffled: the documents are scanned once and the answer is a column beside them.
 
-Broadcast bound: windows are counted before they are sent. Up to max_windows go out at once; a
-larger benchmark is cut into that many slices of its windows, each scanned after a checkpoint, so
-that a task never holds more than one slice. All slices together give the whole answer.
+Broadcast bound: windows are counted before they are sent. Up to max_windows go out at once. A
+larger benchmark is cut into slices of its windows; the documents, written once with a row number, are
+scanned for each slice, so that a task never holds more than one, and only the matches of rows that
+have any come back to the rows. All slices together give the whole answer.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from octetlake.llm import wordscan
-from octetlake.llm.common import WORD, ascii_lower, checkpoint
+from octetlake.llm.common import WORD, ascii_lower, checkpoint, n_words, spare
 
 MATCH = T.StructType(
     [
@@ -129,26 +130,34 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, text_
     if count <= max_windows:
         return docs.withColumn(match_col, _scanner(spark, grams.collect())(F.col(text_col)))
     slices = -(-count // max_windows) + 1
-    out = docs
     part = checkpoint(grams.withColumn("slice", F.pmod(F.xxhash64("gram"), F.lit(slices))))
+    row, other, all_ = (spare(docs, c) for c in ("__row", "__row2", "__matches"))
+    rows = checkpoint(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = None
     for k in range(slices):
         new = _scanner(spark, part.where(F.col("slice") == k).drop("slice").collect())(F.col(text_col))
-        out = checkpoint(out.withColumn(match_col, new if k == 0 else _both(F.col(match_col), new)))
-    return out
-
-
-def _both(a: Column, b: Column) -> Column:
-    """Two matches of the same text as one."""
-    spans = F.array_sort(F.concat(F.arrays_zip(a["starts"], a["ends"]), F.arrays_zip(b["starts"], b["ends"])))
+        hits = rows.select(F.col(row).alias(other), new.alias("m")).where(F.size("m.starts") > 0)
+        found = checkpoint(hits) if found is None else found.unionByName(checkpoint(hits))
+    found = found.groupBy(other).agg(F.collect_list("m").alias(all_))  # at most one entry a slice
+    out = rows.join(found, rows[row] == found[other], "left").withColumn(match_col, _union(F.col(text_col), F.col(all_)))
+    return out.select(*[c for c in docs.columns if c != match_col], match_col)
+
+
+def _union(text: Column, matches: Column) -> Column:
+    """The matches of one text by several slices (null: none) as one match."""
+    every = F.coalesce(matches, F.array().cast("array<struct<n_words:bigint,starts:array<bigint>,ends:array<bigint>,items:array<string>>>"))
+    pair = lambda s, e: F.struct(s.alias("s"), e.alias("e"))
+    spans = F.array_sort(F.flatten(F.transform(every, lambda m: F.zip_with(m["starts"], m["ends"], pair))))
     merged = F.aggregate(
         spans,
         F.array().cast("array<struct<s:bigint,e:bigint>>"),
         lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["e"] >= x["0"]),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], x["1"]).alias("e")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(x["0"].alias("s"), x["1"].alias("e"))))),
+            (F.size(acc) > 0) & (F.element_at(acc, -1)["e"] >= x["s"]),
+            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(pair(F.element_at(acc, -1)["s"], F.greatest(F.element_at(acc, -1)["e"], x["e"])))),
+        ).otherwise(F.concat(acc, F.array(x))),
     )
-    return F.struct(a["n_words"].alias("n_words"), merged["s"].alias("starts"), merged["e"].alias("ends"), F.array_sort(F.array_union(a["items"], b["items"])).alias("items"))
+    items = F.array_sort(F.array_distinct(F.flatten(F.transform(every, lambda m: m["items"]))))
+    return F.struct(n_words(text).alias("n_words"), merged["s"].alias("starts"), merged["e"].alias("ends"), items.alias("items"))
 
 
 def n_hit(match: Column) -> Column:
@@ -164,8 +173,9 @@ def is_contaminated(match: Column, share: int = 20) -> Column:
 def remove_spans(text: Column, match: Column) -> Column:
     """The text without its hit words (and what stands between them), by word positions.
 
-    Text before, between and after the spans is kept as it is, separators included.
+    Text before, between and after the spans is kept as it is, separators included; a null text stays null.
     """
+
     @F.arrow_udf(T.StringType())
     def cut(texts: pa.Array, matches: pa.Array) -> pa.Array:
         off, data = wordscan.string_buffers(texts)
@@ -191,7 +201,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "drop", n
     action 'drop' leaves out documents of which at least one word in `share` is hit and keeps all
     others unchanged; 'cut' keeps every document and removes the hit spans from the text.
     """
-    tmp = "__contamination"
+    tmp = spare(docs, "__contamination")
     found = find_contamination(docs, benchmark, n, text_col, tmp)
     if action == "drop":
         found = found.where(~is_contaminated(F.col(tmp), share))
