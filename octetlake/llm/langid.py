@@ -6,8 +6,9 @@ support vector machines of each family against the rest; within the family, one
 of its languages votes. Families come from a table of language codes; a code it lacks is a family of
 its own.
 
-Machines are fitted on a bounded sample (max_rows documents of DIMS numbers) and are broadcast
-(bounded by languages and DIMS); scoring is spread over all tasks.
+The sample to fit on is bounded (max_rows documents of DIMS numbers) and broadcast; each machine is
+fitted in a task of its own, and only weights come back. They are broadcast too (bounded by languages
+and DIMS); scoring is spread over all tasks.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from octetlake.llm import wordscan
-from octetlake.llm.common import held_out
+from octetlake.llm.common import held_out, positive, threshold
 
-DIMS, MAX_ROWS = 2048, 4_000
+DIMS, MAX_ROWS, MAX_LANGUAGES, LEAST = 2048, 4_000, 200, 16
 FAMILIES = {
     "germanic": ("en", "de", "nl", "af", "sv", "da", "no", "nb", "nn", "is"),
     "romance": ("fr", "es", "it", "pt", "ro", "ca", "gl", "la"),
@@ -71,10 +72,12 @@ def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 150)
         v /= top
     rate = 1.0 / (1.0 / (c * 100) + 2.2 * top)
     w, ahead, t = np.zeros_like(v), np.zeros_like(v), 1.0
-    for _ in range(steps):
+    for k in range(steps):
         slack = np.maximum(0, 1 - y * (x @ ahead))
         new = ahead - rate * (ahead / (c * 100) - 2 * (x.T @ (weight * y * slack)))
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        if k % 10 == 9 and np.linalg.norm(new - w) < 1e-3 * np.linalg.norm(new):
+            return new
         ahead, w, t = new + (t - 1) / t2 * (new - w), new, t2
     return w
 
@@ -123,35 +126,60 @@ def _vector_bytes(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array(out, pa.binary())
 
 
-def fit(docs: DataFrame, lang_col: str = "lang", max_rows: int = MAX_ROWS, seed: int = 9) -> Model:
+def _sample(docs: DataFrame, lang_col: str, max_rows: int, max_languages: int, seed: int) -> DataFrame:
+    """(lang, h, text) of the rows to learn from, h being the hash by which they were chosen."""
+    h = positive(F.xxhash64(F.lit(seed), "doc_id", "text"))
+    rows = docs.select("doc_id", "text", F.col(lang_col).alias("lang")).where("doc_id is not null and text is not null and lang is not null").where(~held_out("doc_id"))
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    each = max(LEAST, max_rows / max(1, len(counts)))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], threshold(min(1.0, each / r["count"]))) for r in counts], "lang string, share long")
+    rows = rows.withColumn("h", h).join(F.broadcast(shares), "lang").where("h < share or share = 9223372036854775807")
+    return rows.groupBy("lang", "h").agg(F.min("text").alias("text"))  # a row that repeats teaches once, so a hot one cannot break the bound
+
+
+def fit(docs: DataFrame, lang_col: str = "lang", max_rows: int = MAX_ROWS, max_languages: int = MAX_LANGUAGES, seed: int = 9) -> Model:
     """Fit on texts and languages of a bounded sample of the documents that are not held out.
 
-    Every language gets an equal part of max_rows (all its rows if fewer), chosen by a hash of the id.
+    Every language gets an equal part of max_rows (all its rows if fewer, LEAST where languages are
+    many), chosen by a hash of id and text. Only the max_languages most frequent values are learnt.
     Null ids, texts and languages teach nothing. Without rows every text is 'und'.
     """
-    rows = docs.select("doc_id", "text", F.col(lang_col).alias("lang")).where("doc_id is not null and text is not null and lang is not null").where(~held_out("doc_id"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
-    if not counts:
+    spark = docs.sparkSession
+    got = _sample(docs, lang_col, max_rows, max_languages, seed).select("h", "lang", _vector_bytes("text").alias("x")).toArrow()
+    if not len(got):
         return Model()
-    each, keep = max_rows / len(counts), F.lit(0)
-    for code, n in counts.items():
-        keep = F.when(F.col("lang") == code, int(min(1.0, each / n) * (1 << 20))).otherwise(keep)
-    rows = rows.where(F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 20)) < keep)
-    got = rows.select("doc_id", "lang", _vector_bytes("text").alias("x")).toArrow()
-    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
-    lang = np.array(got.column("lang").to_pylist(), dtype=object)[order]
-    x = np.stack([np.frombuffer(v.as_py(), dtype=np.float32) for v in got.column("x")])[order]
+    rows = sorted(zip(got.column("h").to_pylist(), got.column("lang").to_pylist(), range(len(got)), strict=True))
+    lang = np.array([code for _, code, _ in rows], dtype=object)
+    x = np.stack([np.frombuffer(got.column("x")[k].as_py(), dtype=np.float32) for _, _, k in rows])
     by: dict[str, list[str]] = {}
     for code in sorted(set(lang)):
         by.setdefault(FAMILY.get(code, code), []).append(code)
     m = Model([by[k] for k in sorted(by)])
-    member = [np.isin(lang, codes) for codes in m.families]
-    if len(m.families) > 1:
-        m.family_weights = np.stack([linear_svm(x, np.where(r, 1, -1)) for r in member], axis=1)
-    for f, codes in enumerate(m.families):
-        for i, j in combinations(range(len(codes)), 2):
-            r = np.isin(lang, [codes[i], codes[j]])
-            m.duels[f, i, j] = linear_svm(x[r], np.where(lang[r] == codes[i], 1, -1))
+    every = [code for codes in m.families for code in codes]
+    duels = [(f, i, j) for f, codes in enumerate(m.families) for i, j in combinations(range(len(codes)), 2)]
+    # a machine: (the languages it says 1 for, all languages it learns from)
+    machines = [(codes, every) for codes in m.families] if len(m.families) > 1 else []
+    machines += [([m.families[f][i]], [m.families[f][i], m.families[f][j]]) for f, i, j in duels]
+    if not machines:
+        return m
+    sent = spark.sparkContext.broadcast((x, lang, machines))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, lang, machines = sent.value
+        for b in batches:
+            for k in b.column("id").to_pylist():
+                for_, of = machines[k]
+                r = np.isin(lang, of)
+                w = linear_svm(x[r], np.where(np.isin(lang[r], for_), 1, -1))
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([w.tolist()], pa.list_(pa.float32()))], ["k", "w"])
+
+    n = len(machines)
+    done = spark.range(0, n, 1, min(n, 1000)).mapInArrow(run, "k long, w array<float>").collect()
+    weights = {r["k"]: np.array(r["w"], dtype=np.float32) for r in done}
+    first = n - len(duels)
+    if first:
+        m.family_weights = np.stack([weights[k] for k in range(first)], axis=1)
+    m.duels = {duel: weights[first + k] for k, duel in enumerate(duels)}
     return m
 
 
@@ -175,6 +203,6 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, for every row of docs."""
+    """doc_id, held_out, lang_pred, score, for every row of docs; 'und' and 0 for a null text and one without a letter."""
     out = docs.select("doc_id", held_out("doc_id").alias("held_out"), predict(docs, fit(docs)).alias("p"))
     return out.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
