@@ -22,11 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from octetlake.llm.common import TOKEN, checkpoint
+from octetlake.llm.common import TOKEN, checkpoint, row_hash, spare
 
 GROUP = 64
 #: Sources up to this many are broadcast (their rates are then under 1 MB); more are joined by shuffle.
 BROADCAST_SOURCES = 10_000
+#: Copies of one row that are written together.
+PART = 1_000
 
 
 def text_size(text: Column) -> Column:
@@ -166,21 +168,36 @@ def plan_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken."""
+    """doc_id, size, source_size, target, taken, for every row of docs (null ids, sources and texts too). No rows give none."""
     return plan_copies(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixed documents: each row of docs as often as its plan says, with its columns.
 
-    Rows are matched to plans by id, and rows of one id by their source and size in turn, so repeated
-    ids keep apart.
+    A plan is made for each different row (by a hash of the whole row) and its number, and joined to the
+    rows by that hash, the one shuffle of texts. Rows that agree in everything are interchangeable: each
+    is taken equally often, and what is left over is added as further copies of it. Null ids and
+    repeated ids with different texts are rows of their own.
     """
-    plan = plan_copies(docs, id_col, text_col, source_col)
-    plan = plan.groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_list(F.struct("source", "size", "copies"))).alias("__plan"))
-    turn = Window.partitionBy(id_col).orderBy(F.col(source_col), "__size", F.col(text_col))
-    rows = docs.withColumn("__size", text_size(F.col(text_col))).withColumn("__turn", F.row_number().over(turn))
-    rows = rows.join(plan, rows[id_col].eqNullSafe(plan["__id"]))
-    copies = F.element_at("__plan", F.col("__turn"))["copies"]
-    rows = rows.withColumn("__copies", copies).where("__copies > 0")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+    key, copies = spare(docs, "__key"), spare(docs, "__copies")
+    named = docs.select(F.struct(F.col(id_col).alias("id"), row_hash(docs).alias("h")).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
+    plan = plan_copies(named, "id", "text", "source").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("all"))
+    each = F.floor(F.col("all") / F.col("n"))
+    plan = checkpoint(plan.select(F.col("doc_id.id").alias("id"), F.col("doc_id.h").alias("h"), "n", each.alias("each"), (F.col("all") - each * F.col("n")).alias("more")).where("each > 0 or more > 0"))
+    rows = docs.withColumn(key, row_hash(docs))
+
+    def taken(plan: DataFrame) -> DataFrame:
+        p = plan.select(F.col("h").alias("h2"), F.col("id").alias("id2"), "c")
+        return rows.join(p, (rows[key] == p["h2"]) & rows[id_col].eqNullSafe(p["id2"])).withColumn(copies, F.col("c"))
+
+    single = (F.col("n") == 1).cast("long")
+    out = taken(plan.withColumn("c", F.col("each") + single * F.col("more")).where("c > 0"))
+    out = out.withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)
+    rest = plan.where("n > 1 and more > 0").withColumn("c", F.col("more"))
+    if rest.limit(1).count():
+        # one of the equal rows, as often as is still wanted, in parts so that no task writes all copies of a frequent row
+        one = taken(rest).dropDuplicates([key, id_col]).withColumn(copies, F.explode(F.sequence(F.lit(0).cast("long"), F.col(copies) - 1, F.lit(PART))))
+        one = one.repartition(key, copies).withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(PART), F.col("c") - F.col(copies)))))
+        out = out.unionByName(one.select(*docs.columns))
+    return out
