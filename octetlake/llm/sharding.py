@@ -6,8 +6,9 @@ once: one aggregate finds each node's widest dimension, and weighted medians com
 of 2**BITS bins that are refined around the median until its bin is one point. Only the histograms
 of the nodes being cut reach the driver (shards * 2**BITS rows at most, whatever the input); no
 level moves the documents. A node of n shards is cut at the share that the shards on either side
-should hold, so any number of shards will do and sizes stay near equal. Equal texts stay together
-unless they weigh more than WHOLE of a shard and lie on a cut: then their rows part by a hash.
+should hold, so up to MAX_SHARDS shards will do and sizes stay near equal. Equal texts stay together
+unless they weigh more than `whole` of a shard and lie on a cut, which then could not be met to within
+that share: their rows part by a hash.
 
 The tree is a nested CASE over the row's own metadata, so placing rows needs no join and no shuffle.
 Slots are numbered in many buckets of a shard, with the buckets' offsets from their counts.
@@ -24,6 +25,7 @@ from octetlake.llm.common import checkpoint
 
 BITS = 11
 WHOLE = 0.01
+MAX_SHARDS = 1024  # the placing expression has a branch for each
 SLOT_BUCKET = 20_000
 DIMS = 3
 TOP = 1 << 62
@@ -125,8 +127,10 @@ def _cuts(points: DataFrame, key: Column, wanted: dict[int, float], near: float)
     return done
 
 
-def build_tree(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[Node, list[tuple[float, float]]]:
+def build_tree(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", whole: float = WHOLE) -> tuple[Node, list[tuple[float, float]]]:
     """The tree for docs and the ranges its keys refer to."""
+    if not 1 <= shards <= MAX_SHARDS:
+        raise ValueError(f"from 1 to {MAX_SHARDS} shards")
     cols = [f"__d{i}" for i in range(DIMS)]
     rows = _points(docs.select(id_col, text_col), id_col, text_col).select(id_col, "__size", "__hash", "__part", *cols)
     rows = checkpoint(rows)
@@ -154,7 +158,7 @@ def build_tree(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: s
         heavy: dict[int, float] = {}
         for i, (cut, least, most, before, w) in _cuts(placed, key, wanted, shard * 1e-5).items():
             n, over = level[i], wanted[i] - before
-            if least == most and w > WHOLE * shard:  # a heavy group of equal texts on the cut
+            if least == most and w > whole * shard:  # a heavy group of equal texts on the cut
                 heavy[i], n.cut = over, cut
             else:
                 n.cut = cut if over < w / 2 else most + 1
@@ -176,7 +180,7 @@ def build_tree(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: s
 
 
 def with_slots(rows: DataFrame, order: list[str], shards: int) -> DataFrame:
-    """rows with slot: 0, 1, ... within each shard, in many buckets so that no shard is one task."""
+    """rows with slot: 0, 1, ... within each shard, in many buckets so that no shard is one task. Rows equal in order are interchangeable."""
     total = rows.count()
     buckets = max(8, -(-total // (shards * SLOT_BUCKET)))
     rows = rows.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
@@ -190,13 +194,14 @@ def with_slots(rows: DataFrame, order: list[str], shards: int) -> DataFrame:
     return rows.withColumn("slot", (F.col("__off") + F.col("__rank") - 1).cast("long")).drop("__bucket", "__rank", "__s", "__b", "__off")
 
 
-def assign_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", shard_col: str = "shard") -> DataFrame:
-    """docs with shard_col, an int from 0 to shards - 1 (a column of that name is replaced).
+def assign_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", shard_col: str = "shard", whole: float = WHOLE) -> DataFrame:
+    """docs with shard_col, an int from 0 to shards - 1 (a column of that name is replaced), __size and __crc.
 
     Null and empty texts weigh 8 bytes and are one point. Rows of equal texts go to one shard unless
-    they outweigh WHOLE of a shard and lie on a cut. An empty table stays empty.
+    they outweigh `whole` of a shard and lie on a cut: with 0 every cut is met as closely as rows allow,
+    with infinity equal texts are never parted and sizes may differ by as much. An empty table stays empty.
     """
-    root, ranges = build_tree(docs, shards, id_col, text_col)
+    root, ranges = build_tree(docs, shards, id_col, text_col, whole)
     keys = _keys(ranges)
     point = F.struct("__part", *[c.alias(k) for k, c in keys.items()])
     # a lambda over one element binds the point, which the nested CASE would else repeat at every node
@@ -205,16 +210,19 @@ def assign_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", tex
     return rows.select(*[c for c in docs.columns if c != shard_col], shard_col, "__size", "__crc")
 
 
-def report(docs: DataFrame, shards: int = 24) -> DataFrame:
-    """doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null)."""
-    rows = assign_shards(docs.select("doc_id", "text"), shards)
+def report(docs: DataFrame, shards: int = 24, whole: float = WHOLE) -> DataFrame:
+    """doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null), for every row of docs; a null text has size 8 and CRC 0."""
+    rows = assign_shards(docs.select("doc_id", "text"), shards, whole=whole)
     rows = checkpoint(rows.select("doc_id", F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"), "shard"))
     rows = with_slots(rows, ["doc_id", "text_crc32", "size"], shards)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
-    """The documents with shard and slot."""
-    rows = assign_shards(docs, shards).withColumnRenamed("__crc", "__c")
-    out = with_slots(rows, ["doc_id", "__c", "__size"], shards)
-    return out.select(*[c for c in docs.columns if c not in ("shard", "slot")], "shard", "slot")
+    """The documents with shard and slot (columns of these names are replaced). Null ids and texts are rows like any other."""
+    keep = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])  # so that no name clashes with those used here
+    at = {c: f"c{i}" for i, c in enumerate(keep)}
+    rows = assign_shards(plain, shards, at["doc_id"], at["text"]).withColumnRenamed("__crc", "__c")
+    out = with_slots(rows, [at["doc_id"], "__c", "__size"], shards)
+    return out.select(*[F.col(at[c]).alias(c) for c in keep], "shard", "slot")
