@@ -2,9 +2,10 @@
 
 Documents without any trigger literal (most) are done after a byte search. The others are
 normalised to words; a rule is tried only where its keyword occurs; its matches are intervals. The
-intervals of a document are swept from left to right: of two that overlap, or of which one holds
-the other, the one of higher priority stays (then the longer, then the earlier rule). What stays
-are the detections. Everything is an expression of the row: no join, no shuffle.
+intervals of a document are taken by priority (then the longer, then the earlier rule, then the first
+place), and one that overlaps an interval taken before, or holds it or lies in it, is suppressed. So
+an interval is suppressed only by one that stays. What stays are the detections. Everything is an
+expression of the row: no join, no shuffle.
 """
 
 from __future__ import annotations
@@ -12,23 +13,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from octetlake.llm.common import WORD, ascii_lower
+from octetlake.llm.common import WORD, ascii_lower, n_words
 from octetlake.llm.license_rules import CC_BY, RULES, TRIGGERS
 
 #: Phrases of the base contract and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 _PHRASES = "(?:" + "|".join(BASE) + ") "
 _HIT = "struct<start:int,stop:int,priority:int,label:string,confidence:double,rule:int>"
-#: A word before lower-casing.
-_RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Numbers that are added up together in running sums.
+PIECE = 128
 
 
 def _gate(text: Column) -> Column:
-    low = F.lower(text)
-    out = text.rlike(CC_BY)
-    for t in reversed(TRIGGERS):
-        out = low.contains(t) | out
-    return out
+    def any_trigger(low: Column) -> Column:
+        out = low.contains("cc") & low.rlike(CC_BY)
+        for t in reversed(TRIGGERS):
+            out = low.contains(t) | out
+        return out
+
+    return F.exists(F.array(F.lower(text)), any_trigger)  # the lambda over one element binds the lower-cased text
 
 
 def _rules() -> Column:
@@ -36,44 +39,70 @@ def _rules() -> Column:
     return F.array(*rows)
 
 
+def _bind(value: Column, f) -> Column:
+    """f(value), with value evaluated once."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _starts(gaps: Column, found: Column) -> Column:
+    """Where each match begins, from the gaps before the matches: running sums, piece by piece so that no long array is copied for each match."""
+    steps = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, f: F.struct(F.length(g).alias("gap"), F.length(f).alias("hit")))
+
+    def within(at: Column, piece: Column) -> Column:
+        start = F.struct(at.alias("at"), F.array().cast("array<int>").alias("all"))
+        return F.aggregate(piece, start, lambda s, x: F.struct((s["at"] + x["gap"] + x["hit"]).alias("at"), F.concat(s["all"], F.array(s["at"] + x["gap"])).alias("all")))
+
+    def fold(steps: Column) -> Column:
+        pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / PIECE).cast("int")), lambda k: F.slice(steps, k * PIECE + 1, F.lit(PIECE)))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("all"))
+        return F.aggregate(pieces, start, lambda s, p: _bind(within(s["at"], p), lambda r: F.struct(r["at"].alias("at"), F.concat(s["all"], F.array(r["all"])).alias("all"))))
+
+    return F.flatten(_bind(steps, fold)["all"])
+
+
 def _intervals(words: Column, rule: Column) -> Column:
     """The matches of a rule in the normalised text."""
-    found = F.regexp_extract_all(words, rule["regex"], F.lit(0))
-    gaps = F.split(words, rule["regex"], -1)
 
-    def interval(hit: Column, i: Column) -> Column:
-        start = F.length(F.array_join(F.slice(gaps, 1, i + 1), "")) + F.length(F.array_join(F.slice(found, 1, i), ""))
+    def interval(hit: Column, start: Column) -> Column:
         return F.struct(
             start.alias("start"), (start + F.length(hit)).alias("stop"), rule["priority"].alias("priority"), rule["label"].alias("label"), rule["confidence"].alias("confidence"), rule["rule"].alias("rule")
         )
 
-    return F.when(F.size(found) > 0, F.transform(found, interval)).otherwise(F.array().cast(f"array<{_HIT}>"))
+    def of(found: Column) -> Column:
+        hits = F.zip_with(found, _starts(F.split(words, rule["regex"], -1), found), interval)
+        return F.when(F.size(found) > 0, hits).otherwise(F.array().cast(f"array<{_HIT}>"))
+
+    return _bind(F.regexp_extract_all(words, rule["regex"], F.lit(0)), of)
 
 
-def _sweep(hits: Column) -> Column:
-    """Of overlapping intervals the strongest; hits are sorted by start."""
-    start = F.struct(F.array().cast(f"array<{_HIT}>").alias("kept"), F.lit(None).cast(_HIT).alias("last"))
+def _resolve(hits: Column) -> Column:
+    """Of overlapping intervals the strongest, in order of place; hits are sorted by start.
 
-    def rank(h: Column) -> Column:
-        return F.struct(h["priority"], h["stop"] - h["start"], -h["rule"])
+    Chains of intervals, each of which overlaps the ones before, are resolved on their own.
+    """
+    many = f"array<array<{_HIT}>>"
+    start = F.struct(F.array().cast(many).alias("chains"), F.array().cast(f"array<{_HIT}>").alias("last"), F.lit(-1).alias("stop"))
 
     def step(s: Column, h: Column) -> Column:
-        last = s["last"]
-        return (
-            F.when(last.isNull(), F.struct(s["kept"].alias("kept"), h.alias("last")))
-            .when(h["start"] >= last["stop"], F.struct(F.concat(s["kept"], F.array(last)).alias("kept"), h.alias("last")))
-            .when(rank(h) > rank(last), F.struct(s["kept"].alias("kept"), h.alias("last")))
-            .otherwise(s)
-        )
+        joined = F.struct(s["chains"].alias("chains"), F.concat(s["last"], F.array(h)).alias("last"), F.greatest(s["stop"], h["stop"]).alias("stop"))
+        return F.when(h["start"] < s["stop"], joined).otherwise(F.struct(F.concat(s["chains"], F.array(s["last"])).alias("chains"), F.array(h).alias("last"), h["stop"].alias("stop")))
+
+    chains = F.aggregate(hits, start, step, lambda s: F.concat(s["chains"], F.array(s["last"])))
+
+    def strongest(chain: Column) -> Column:
+        ranked = F.sort_array(F.transform(chain, lambda h: F.struct(h["priority"], h["stop"] - h["start"], -h["rule"], -h["start"], h.alias("h"))), asc=False)
+        free = lambda kept, h: ~F.exists(kept, lambda k: (h["start"] < k["stop"]) & (k["start"] < h["stop"]))
+        kept = F.aggregate(ranked, F.array().cast(f"array<{_HIT}>"), lambda kept, r: F.when(free(kept, r["h"]), F.concat(kept, F.array(r["h"]))).otherwise(kept))
+        return F.when(F.size(chain) < 2, chain).otherwise(F.array_sort(kept))
 
-    return F.aggregate(hits, start, step, lambda s: F.when(s["last"].isNull(), s["kept"]).otherwise(F.concat(s["kept"], F.array(s["last"]))))
+    return F.flatten(F.transform(chains, strongest))
 
 
 def _n_spaces(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
 
 
-def _scan(words: Column, n_words: Column) -> Column:
+def _scan(words: Column, count: Column) -> Column:
     """Of ' w w ... w ': base places and detections."""
 
     def base(pieces: Column) -> Column:
@@ -82,7 +111,7 @@ def _scan(words: Column, n_words: Column) -> Column:
         return F.struct(
             (F.size(pieces) - 1 + at_start.cast("int")).cast("long").alias("n_base"),
             F.when(at_start, 0).when(more, _n_spaces(F.element_at(pieces, 1))).cast("long").alias("first_word"),
-            F.when(more, n_words - _n_spaces(F.element_at(pieces, -1))).when(at_start, 0).cast("long").alias("last_word"),
+            F.when(more, count - _n_spaces(F.element_at(pieces, -1))).when(at_start, 0).cast("long").alias("last_word"),
         )
 
     # the lambda over one element binds the pieces, so that the text is split once
@@ -90,7 +119,7 @@ def _scan(words: Column, n_words: Column) -> Column:
     labels = F.filter(F.array(*[F.when(words.contains(f" {p} "), F.lit(v)) for p, v in BASE.items()]), lambda x: x.isNotNull())
     tried = F.filter(_rules(), lambda r: words.contains(r["keyword"]))
     hits = F.array_sort(F.flatten(F.transform(tried, lambda r: _intervals(words, r))))
-    return F.struct(places.alias("base"), F.array_sort(labels).alias("base_labels"), _sweep(hits).alias("detections"))
+    return F.struct(places.alias("base"), F.array_sort(labels).alias("base_labels"), F.when(F.size(tried) > 0, _resolve(hits)).otherwise(F.array().cast(f"array<{_HIT}>")).alias("detections"))
 
 
 def scan(docs: DataFrame, text_col: str = "text", out_col: str = "license") -> DataFrame:
@@ -101,16 +130,16 @@ def scan(docs: DataFrame, text_col: str = "text", out_col: str = "license") -> D
     scanned, however long.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    n_words = F.regexp_count(text, F.lit(_RAW_WORD)).cast("long")
+    count = n_words(text)
     words = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(ascii_lower(text), F.lit(f"({WORD})"), F.lit(1)), " "), F.lit(" "))
-    bound = F.transform(F.array(F.struct(words.alias("w"), n_words.alias("n"))), lambda x: _scan(x["w"], x["n"]))[0]
+    bound = _bind(F.struct(words.alias("w"), count.alias("n")), lambda x: _scan(x["w"], x["n"]))
     found = F.when(_gate(text), bound)
     nothing = F.struct(
         F.struct(F.lit(0).cast("long").alias("n_base"), F.lit(None).cast("long").alias("first_word"), F.lit(None).cast("long").alias("last_word")).alias("base"),
         F.array().cast("array<string>").alias("base_labels"),
         F.array().cast(f"array<{_HIT}>").alias("detections"),
     )
-    return docs.withColumn(out_col, F.struct(n_words.alias("n_words"), F.coalesce(found, nothing).alias("s"))).withColumn(
+    return docs.withColumn(out_col, F.struct(count.alias("n_words"), F.coalesce(found, nothing).alias("s"))).withColumn(
         out_col, F.struct(F.col(f"{out_col}.n_words"), F.col(f"{out_col}.s.base"), F.col(f"{out_col}.s.base_labels"), F.col(f"{out_col}.s.detections"))
     )
 
