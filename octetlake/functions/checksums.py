@@ -6,6 +6,8 @@ are Arrow functions that handle each value's bytes as one array.
 
 from __future__ import annotations
 
+import binascii
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -40,32 +42,19 @@ def _padded(b: np.ndarray, width: int) -> np.ndarray:
     return np.concatenate([b, np.zeros(-len(b) % width, dtype=np.uint8)])
 
 
-def _crc_table(poly: int, bits: int) -> np.ndarray:
-    top, mask, out = 1 << (bits - 1), (1 << bits) - 1, []
-    for i in range(256):
-        c = i << (bits - 8)
-        for _ in range(8):
-            c = ((c << 1) ^ poly) & mask if c & top else (c << 1) & mask
-        out.append(c)
-    return np.array(out, dtype=np.int64)
+_REVERSED = np.packbits(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)[:, ::-1], axis=1)[:, 0]
 
 
-def _crc_msb(poly: int, bits: int, start: int = 0, length: bool = False, final: int = 0):
-    table, mask = _crc_table(poly, bits).tolist(), (1 << bits) - 1
+def _register(data: bytes, start: int = 0) -> int:
+    """The register of the reflected CRC-32 after the data, from a start, without inversions."""
+    return zlib.crc32(data, start ^ 0xFFFFFFFF) ^ 0xFFFFFFFF
 
-    def f(b: np.ndarray) -> int:
-        c = start
-        data = b.tolist()
-        if length:  # the length follows, lowest byte first
-            n = len(data)
-            while n:
-                data.append(n & 255)
-                n >>= 8
-        for x in data:
-            c = ((c << 8) & mask) ^ table[(c >> (bits - 8)) ^ x]
-        return c ^ final
 
-    return f
+def _posix_cksum(b: np.ndarray) -> int:
+    """By the mirror image: the reflected CRC of the bytes with their bits turned, its bits turned back."""
+    n = len(b)
+    data = _REVERSED[np.concatenate([b, np.frombuffer(n.to_bytes((n.bit_length() + 7) // 8, "little"), dtype=np.uint8)])].tobytes()
+    return int(f"{_register(data):032b}"[::-1], 2) ^ 0xFFFFFFFF
 
 
 def _sum16(b: np.ndarray) -> int:
@@ -94,9 +83,9 @@ def _xor32(b: np.ndarray) -> int:
 
 
 #: CRC-16 with polynomial 0x1021, most significant bit first.
-crc16_ccitt = _of_bytes(_crc_msb(0x1021, 16))
+crc16_ccitt = _of_bytes(lambda b: binascii.crc_hqx(b.tobytes(), 0))
 #: The POSIX cksum value (CRC-32, polynomial 0x04C11DB7, most significant bit first, then the length, inverted).
-posix_cksum = _of_bytes(_crc_msb(0x04C11DB7, 32, length=True, final=0xFFFFFFFF))
+posix_cksum = _of_bytes(_posix_cksum)
 #: Sum of bytes modulo 256, and its two's complement.
 sum8 = _of_bytes(lambda b: int(b.sum(dtype=np.int64)) & 0xFF)
 sum8_complement = _of_bytes(lambda b: -int(b.sum(dtype=np.int64)) & 0xFF)
@@ -139,11 +128,13 @@ def signed_crc(start: int = 0):
     """A reflected CRC-32 step over bytes that are taken as signed, from a given start, without inversion."""
 
     def f(b: np.ndarray) -> int:
-        c = start
-        for x in b.astype(np.int8).tolist():
-            c ^= x & 0xFFFFFFFF
-            for _ in range(8):
-                c = (c >> 1) ^ (0xEDB88320 if c & 1 else 0)
+        # A negative byte also turns the upper 24 bits of the register. By linearity that is the same as turning the
+        # three bytes that follow, and what of it lies beyond the end is turned in the result.
+        high = np.concatenate([np.zeros(3, dtype=np.uint8), b >> 7])
+        turned = high[2:-1] ^ high[1:-2] ^ high[:-3]
+        c = _register((b ^ turned * np.uint8(255)).tobytes(), start)
+        for k in range(min(3, len(b))):
+            c ^= (0xFFFFFF >> (8 * k)) * int(high[-1 - k])
         return c
 
     return _of_bytes(f)
@@ -155,12 +146,6 @@ def _ecc_bytes(b: np.ndarray) -> int:
     return ((v >> 6) << 8) | ((v & 0x3F) << 2) | 3
 
 
-#: The 3-byte NAND code of the first 256 bytes, as a 24-bit number.
-nand_ecc = _of_bytes(_ecc_bytes)
-#: Row and column parities of the first 256 bytes: bit 2k + 1 is the parity of bits whose place has bit k set, bit 2k of the others.
-nand_parity = _of_bytes(_ecc)
-
-
 _PARITY = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(axis=1).astype(np.uint8) & 1
 
 
@@ -194,7 +179,7 @@ def _eccs_bytes(b: np.ndarray) -> np.ndarray:
     return ((v >> 6) << 8) | ((v & 0x3F) << 2) | 3
 
 
-#: nand_ecc and nand_parity of every block of 256 bytes, as arrays in the order of the blocks.
+#: The 3-byte NAND code, and row and column parities (bit 2k + 1 of bits whose place has bit k set, bit 2k of the others), of every block of 256 bytes, as arrays in the order of the blocks.
 nand_ecc_blocks = _of_blocks(_eccs_bytes)
 nand_parity_blocks = _of_blocks(_eccs)
 

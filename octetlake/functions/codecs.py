@@ -1,7 +1,8 @@
-"""Decompression as column functions: struct(ok, data, consumed) per value, with an output cap.
+"""Decompression as column functions: struct(ok, truncated, over, data, consumed) per value.
 
-No command is ever run. `limit` caps what a blob may inflate to; a stream that would pass it is cut
-there and is not ok.
+No command is ever run. `limit` bounds what one value may inflate to; a stream that passes it has `over`
+set, which is a result of its own and no failure, and `parts` gives the whole of such a stream in rows of a
+bounded size.
 """
 
 from __future__ import annotations
@@ -9,16 +10,16 @@ from __future__ import annotations
 import bz2
 import lzma
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LIMIT = 64 << 20
-RESULT = T.StructType([T.StructField("ok", T.BooleanType()), T.StructField("truncated", T.BooleanType()), T.StructField("data", T.BinaryType()), T.StructField("consumed", T.LongType())])
-_ARROW = pa.struct([("ok", pa.bool_()), ("truncated", pa.bool_()), ("data", pa.binary()), ("consumed", pa.int64())])
+RESULT = T.StructType([T.StructField("ok", T.BooleanType()), T.StructField("truncated", T.BooleanType()), T.StructField("over", T.BooleanType()), T.StructField("data", T.BinaryType()), T.StructField("consumed", T.LongType())])
+_ARROW = pa.struct([("ok", pa.bool_()), ("truncated", pa.bool_()), ("over", pa.bool_()), ("data", pa.binary()), ("consumed", pa.int64())])
 
 
 def _stream(decoder, data: bytes, limit: int) -> dict:
@@ -31,7 +32,7 @@ def _stream(decoder, data: bytes, limit: int) -> dict:
     rest = getattr(decoder, "unused_data", b"") or b""
     more = getattr(decoder, "unconsumed_tail", b"") or b""
     over = len(out) >= limit and not eof
-    return {"ok": not fail and eof and not over, "truncated": not fail and not eof and not over, "data": out, "consumed": len(data) - len(rest) - len(more)}
+    return {"ok": not fail and eof and not over, "truncated": not fail and not eof and not over, "over": over, "data": out, "consumed": len(data) - len(rest) - len(more)}
 
 
 def _lzma_alone(data: bytes, limit: int) -> dict:
@@ -63,7 +64,7 @@ def decode(codec: str, content: Column, limit: int = LIMIT) -> Column:
 
     @F.arrow_udf(RESULT)
     def run(col: pa.Array) -> pa.Array:
-        return pa.array([{"ok": False, "truncated": False, "data": None, "consumed": 0} if v is None else f(v, limit) for v in col.to_pylist()], _ARROW)
+        return pa.array([{"ok": False, "truncated": False, "over": False, "data": None, "consumed": 0} if v is None else f(v, limit) for v in col.to_pylist()], _ARROW)
 
     return run(content)
 
@@ -76,7 +77,7 @@ def decode_by(codec: Column, content: Column, limit: int = LIMIT) -> Column:
         out = []
         for name, v in zip(names.to_pylist(), col.to_pylist(), strict=True):
             f = CODECS.get(name)
-            out.append(f(v, limit) if f and v is not None else {"ok": False, "truncated": False, "data": None, "consumed": 0})
+            out.append(f(v, limit) if f and v is not None else {"ok": False, "truncated": False, "over": False, "data": None, "consumed": 0})
         return pa.array(out, _ARROW)
 
     return run(codec, content)
@@ -88,6 +89,52 @@ def is_valid(codec: str, content: Column, window: int = 33 << 10) -> Column:
     return (r["ok"] | r["truncated"]) & (F.octet_length(r["data"]) > 0)
 
 
+def first_of(codecs: list[str], content: Column, limit: int = LIMIT) -> Column:
+    """struct(codec, r): the first codec of the chain that decodes each value, and its result; null if none does. Later codecs are not tried."""
+
+    @F.arrow_udf(T.StructType([T.StructField("codec", T.StringType()), T.StructField("r", RESULT)]))
+    def run(col: pa.Array) -> pa.Array:
+        out = []
+        for v in col.to_pylist():
+            tried = ((name, CODECS[name](v, limit)) for name in codecs) if v is not None else ()
+            out.append(next(({"codec": name, "r": r} for name, r in tried if r["ok"] or r["over"]), None))
+        return pa.array(out, pa.struct([("codec", pa.string()), ("r", _ARROW)]))
+
+    return run(content)
+
+
+_DECODERS: dict[str, Callable[[], object]] = {
+    "gzip": lambda: zlib.decompressobj(31), "zlib": lambda: zlib.decompressobj(15), "deflate": lambda: zlib.decompressobj(-15), "xz": lambda: lzma.LZMADecompressor(lzma.FORMAT_XZ),
+    "lzma": lambda: lzma.LZMADecompressor(lzma.FORMAT_ALONE), "bzip2": lambda: bz2.BZ2Decompressor(),
+}
+
+
+def parts(blobs: DataFrame, codec: str, size: int = 16 << 20) -> DataFrame:
+    """(file_id, part, data): what (file_id, content) inflates to, in parts of `size` bytes, however much it is.
+
+    Parts stream out of the task one by one. A stream that breaks off gives what came before; null gives nothing.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for id_, v in zip(b.column("file_id"), b.column("content").to_pylist(), strict=True):
+                decoder, rest, k = _DECODERS[codec](), v, 0
+                while rest is not None and not decoder.eof:
+                    try:
+                        data = decoder.decompress(rest, size)
+                    except (zlib.error, lzma.LZMAError, OSError, EOFError, ValueError):
+                        break
+                    rest = getattr(decoder, "unconsumed_tail", b"")
+                    if data:
+                        yield pa.RecordBatch.from_arrays([pa.array([id_.as_py()], b.column("file_id").type), pa.array([k], pa.int32()), pa.array([data], pa.binary())], ["file_id", "part", "data"])
+                        k += 1
+                    elif not rest and getattr(decoder, "needs_input", True):
+                        break
+
+    kind = blobs.schema["file_id"].dataType.simpleString()
+    return blobs.select("file_id", "content").mapInArrow(run, f"file_id {kind}, part int, data binary")
+
+
 _FOUND = T.ArrayType(T.StructType([T.StructField("offset", T.LongType()), T.StructField("n", T.LongType())]))
 
 

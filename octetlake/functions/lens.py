@@ -108,8 +108,11 @@ def is_printable(text: Column) -> Column:
 
 def strings(chars: Column, minimum: int = 4, keep_last: bool = False) -> Column:
     """Runs of printable characters (tab to CR, blank to tilde) of a lens; a run at the very end only with keep_last."""
-    run = rf"([\x09-\x0d\x20-\x7e]{{{minimum},}})"
-    return F.regexp_extract_all(chars, F.lit(run if keep_last else run + r"(?=[^\x09-\x0d\x20-\x7e])"), F.lit(1))
+    found = F.regexp_extract_all(chars, F.lit(rf"([\x09-\x0d\x20-\x7e]{{{minimum},}}+)"), F.lit(1))
+    if keep_last:
+        return found
+    at_end = lambda f: F.when((F.size(f) > 0) & F.endswith(chars, F.try_element_at(f, F.lit(-1))), F.slice(f, 1, F.size(f) - 1)).otherwise(f)
+    return F.transform(F.array(found), at_end)[0]
 
 
 def strip_quoted(text: Column) -> Column:

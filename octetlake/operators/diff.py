@@ -23,8 +23,10 @@ def hex_diff(files: DataFrame, width: int = 16) -> DataFrame:
     offset, so no file is exploded to bytes.
     """
     n = F.octet_length("content")
-    rows = files.where(n > 0).select("group_id", "ord", F.explode(F.sequence(F.lit(0), n - 1, F.lit(width))).alias("offset"), "content")
-    rows = rows.select("group_id", "ord", "offset", F.hex(F.substring(F.col("content"), F.col("offset") + 1, F.lit(width))).alias("h"))
+    # slices are cut beside the file and then made rows, so that no row carries the whole file
+    part = lambda at: F.struct(at.alias("offset"), F.hex(F.substring(F.col("content"), at + 1, F.lit(width))).alias("h"))
+    rows = files.where(n > 0).select("group_id", "ord", F.transform(F.sequence(F.lit(0), n - 1, F.lit(width)), part).alias("parts"))
+    rows = rows.select("group_id", "ord", F.explode("parts").alias("p")).select("group_id", "ord", "p.*")
     members = files.groupBy("group_id").agg(F.count(F.lit(1)).alias("files"), F.array_sort(F.collect_list("ord")).alias("ords"), F.max(n).alias("longest"))
     lines = rows.groupBy("group_id", "offset").agg(F.map_from_entries(F.collect_list(F.struct("ord", "h"))).alias("by")).join(members, "group_id")
 
@@ -50,7 +52,18 @@ def duplicates(blobs: DataFrame) -> DataFrame:
     """(file_id, first_id): the smallest id with the same size and content; content is compared by its SHA-256."""
     keyed = blobs.select("file_id", F.octet_length("content").alias("size"), F.sha2("content", 256).alias("digest"))
     first = keyed.groupBy("size", "digest").agg(F.min("file_id").alias("first_id"))
-    return keyed.join(first, ["size", "digest"]).select("file_id", "first_id")
+    # an expression instead of the bare key: both sides get an exchange, so the rows of a hot digest can be split
+    first = first.select((F.col("size") + 0).alias("s"), F.concat("digest", F.lit("")).alias("d"), "first_id")
+    return keyed.join(first, (keyed["size"] == first["s"]) & (keyed["digest"] == first["d"])).select("file_id", "first_id")
+
+
+def basename_groups(files: DataFrame) -> DataFrame:
+    """(base, first_id, digest, members, kinds): of the files (file_id, base, digest), the classes of equal content under
+    one base name, with the smallest id and the number of each class and the number of classes of the name. Pairs of
+    equal name follow from the classes; they are not listed, since their number is quadratic."""
+    classes = files.groupBy("base", "digest").agg(F.min("file_id").alias("first_id"), F.count(F.lit(1)).alias("members"))
+    kinds = classes.groupBy("base").agg(F.count(F.lit(1)).alias("kinds")).withColumnRenamed("base", "b")
+    return classes.join(kinds, F.col("base") == F.col("b")).select("base", "first_id", "digest", "members", "kinds")
 
 
 def _pieces(data: bytes, size: int) -> tuple[str, str]:

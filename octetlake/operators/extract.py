@@ -7,8 +7,10 @@ shared checkpoint folder; a depth bounds the loop, and it ends when nothing new
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from octetlake.functions import codecs
 from octetlake.functions.lens import byte_range
@@ -68,25 +70,59 @@ def carve(hits: DataFrame, blobs: DataFrame, max_size: int | None = None) -> Dat
     rows = j.withColumn("size", size.cast("long"))
     name = F.concat(F.hex("offset"), F.when(F.col("ext") != "", F.concat(F.lit("."), F.col("ext"))).otherwise(""))
     data = F.substring(F.col("content"), (F.col("offset") + 1).cast("int"), F.col("size").cast("int"))
-    extra = [c for c in ("priority", "codec", "recurse") if c in rows.columns]
-    return rows.select(F.col("file_id").alias("parent_id"), "offset", "size", name.alias("name"), "ext", data.alias("content"), *extra)
+    return rows.select(F.col("file_id").alias("parent_id"), "offset", "size", name.alias("name"), "ext", data.alias("content"))
 
 
-def first_success(carved: DataFrame, limit: int = codecs.LIMIT) -> DataFrame:
+def chains(matched: DataFrame) -> DataFrame:
+    """(file_id, offset, size, chain): the rules of each hit in order; a chain is bounded by the number of rules."""
+    chain = F.array_sort(F.collect_list(F.struct("priority", "ext", "codec", "recurse")))
+    return matched.groupBy("file_id", "offset").agg(F.min("size").alias("size"), chain.alias("chain"))
+
+
+_OUTCOME = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("status", T.StringType()), T.StructField("data", T.BinaryType())])
+
+
+def _attempts(limit: int):
+    def outcome(names: list[str | None], v: bytes) -> dict:
+        spare = {"k": 0, "status": "failed", "data": None}
+        for k, name in enumerate(names):
+            if name is None:
+                return {"k": k, "status": "carved", "data": None}
+            if name in codecs.UNSUPPORTED:
+                return {"k": k, "status": "unsupported", "data": None}
+            r = codecs.CODECS[name](v, limit)
+            if r["ok"] or r["over"]:
+                return {"k": k, "status": "extracted" if r["ok"] else "over", "data": r["data"]}
+            if r["truncated"] and r["data"] and spare["status"] == "failed":
+                spare = {"k": k, "status": "truncated", "data": r["data"]}
+        return spare
+
+    @F.arrow_udf(_OUTCOME)
+    def run(names: pa.Array, content: pa.Array) -> pa.Array:
+        rows = [outcome(n or [], v or b"") for n, v in zip(names.to_pylist(), content.to_pylist(), strict=True)]
+        return pa.array(rows, pa.struct([("k", pa.int32()), ("status", pa.string()), ("data", pa.binary())]))
+
+    return run
+
+
+def first_success(chained: DataFrame, blobs: DataFrame, max_size: int | None = None, limit: int = codecs.LIMIT) -> DataFrame:
     """Of each hit's rules, in order, the first that decodes; a rule without codec ends the chain by carving.
 
-    status: extracted, carved, unsupported or failed. Rules are tried together and the least priority
-    that succeeds is kept, so the order decides as in a chain.
+    status: extracted, over (what it inflates to passes limit; content is the first limit bytes, codecs.parts
+    gives all), carved, unsupported, truncated (nothing decodes but a stream that breaks off) or failed. A hit
+    is carved once, and rules behind the one that ends its chain are not tried.
     """
-    tried = carved.withColumn("r", F.when(F.col("codec").isNotNull(), codecs.decode_by(F.col("codec"), F.col("content"), limit)))
-    status = (
-        F.when(F.col("codec").isNull(), "carved").when(F.col("codec").isin(*codecs.UNSUPPORTED), "unsupported").when(F.col("r.ok") | (F.col("r.truncated") & (F.octet_length("r.data") > 0)), "extracted").otherwise("failed")
+    j = chained.join(blobs.select("file_id", "content"), "file_id")
+    size = F.coalesce("size", F.octet_length("content") - F.col("offset"))
+    size = F.least(size, F.lit(max_size)) if max_size is not None else size
+    data = F.substring(F.col("content"), (F.col("offset") + 1).cast("int"), size.cast("int"))
+    j = j.select("file_id", "offset", size.cast("long").alias("size"), "chain", data.alias("carved"))
+    j = j.withColumn("o", _attempts(limit)(F.transform("chain", lambda c: c["codec"]), F.col("carved")))
+    rule = F.get(F.col("chain"), F.col("o.k"))
+    name = F.concat(F.hex("offset"), F.when(rule["ext"] != "", F.concat(F.lit("."), rule["ext"])).otherwise(""))
+    return j.select(
+        F.col("file_id").alias("parent_id"), "offset", "size", name.alias("name"), rule["ext"].alias("ext"), F.col("o.status").alias("status"), rule["recurse"].alias("recurse"), F.coalesce("o.data", "carved").alias("content")
     )
-    tried = tried.withColumn("status", status)
-    w = Window.partitionBy("parent_id", "offset").orderBy((F.col("status") == "failed").cast("int"), "priority")
-    best = tried.withColumn("k", F.row_number().over(w)).where("k = 1")
-    data = F.when(F.col("status") == "extracted", F.col("r.data")).otherwise(F.col("content"))
-    return best.select("parent_id", "offset", "size", "name", "ext", "status", "recurse", data.alias("content"))
 
 
 def extract(blobs: DataFrame, rules=None, depth: int = 8, max_size: int | None = None, max_count: int | None = None, limit: int = codecs.LIMIT, scan_rules=None) -> DataFrame:
@@ -101,8 +137,7 @@ def extract(blobs: DataFrame, rules=None, depth: int = 8, max_size: int | None =
     out = None
     for generation in range(1, depth + 1):
         hits = eligible(scan(level.select("file_id", "content"), scan_rules), max_count)
-        carved = carve(rule_matches(hits, table), level, max_size)
-        new = first_success(carved, limit)
+        new = first_success(chains(rule_matches(hits, table)), level, max_size, limit)
         origin = level.select(F.col("file_id").alias("parent_id"), "root_id", F.col("path").alias("up"))
         new = new.join(origin, "parent_id").select(
             "root_id", "parent_id", F.xxhash64("parent_id", "offset", "name").alias("file_id"), F.lit(generation).alias("generation"), F.concat("up", F.lit("/"), "name").alias("path"),

@@ -1,9 +1,8 @@
 """The signature scan: candidates, rule tests, winners, and the per-file order of hits.
 
-An Arrow function finds all magics of all rules in one pass over a blob (Aho-Corasick); candidates are
-tested by the compiled rules; one window per file picks the most confident valid rule at each offset.
-The blob travels with its candidates only up to the test, inside one stage: nothing but narrow hit rows
-is shuffled.
+An Arrow function finds all magics of all rules in one pass over a blob (Aho-Corasick); the compiled rules
+test the array of candidates where the blob is; one window per file picks the most confident valid rule at
+each offset. Nothing but narrow hit rows leaves the blob or is shuffled.
 """
 
 from __future__ import annotations
@@ -20,6 +19,9 @@ from octetlake.functions import lens
 from octetlake.operators.rules import Rule, compile_rule, default_rules
 from octetlake.plans.shared import checkpoint
 
+#: Extraction rules that may be broadcast.
+MAX_RULES = 10_000
+
 _CANDIDATES = T.ArrayType(T.StructType([T.StructField("rule", T.IntegerType()), T.StructField("offset", T.LongType())]))
 
 
@@ -78,25 +80,38 @@ def _finder(rules: list[Rule]):
 
 
 def candidates(blobs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """(file_id, content, rule, offset): each place where a rule's magic stands."""
-    return blobs.select("file_id", "content", F.explode(_finder(rules)(F.col("content"))).alias("c")).select("file_id", "content", "c.rule", "c.offset")
+    """(file_id, rule, offset): each place where a rule's magic stands."""
+    return blobs.select("file_id", F.explode(_finder(rules)(F.col("content"))).alias("c")).select("file_id", "c.rule", "c.offset")
+
 
+def tested(blobs: DataFrame, rules: list[Rule], keep_invalid: bool = False) -> DataFrame:
+    """Candidates with what their rules say: title, confidence, description, valid, size, jump, adjust, name, many, once.
 
-def evaluate(found: DataFrame, rules: list[Rule], keep_invalid: bool = False) -> DataFrame:
-    """Candidates with what their rules say: title, confidence, description, valid, size, jump, adjust, name, many, once."""
-    at = F.col("offset")
-    pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("rule"))
+    Tests run over the array of a blob's candidates, beside the blob, and only their results are made
+    rows; the blob is never copied for a candidate.
+    """
+    if not rules:
+        return tested(blobs, [raw_rule(b"\0")], keep_invalid).limit(0)
+    pick = lambda values, c: F.get(F.array(*[F.lit(v) for v in values]), c["rule"])
     plain = [len(r.lines) == 1 and not r.tags.keys() & {"size", "jump", "adjust", "invalid", "name"} and "%" not in r.lines[0].text for r in rules]
     none, n = F.lit(None), F.lit(None).cast("long")
-    result = F.struct(pick([r.lines[0].text for r in rules]).alias("description"), F.lit(True).alias("valid"), n.alias("size"), n.alias("jump"), n.alias("adjust"), none.cast("string").alias("name"))
-    for k, r in enumerate(rules):
-        if not plain[k]:
-            result = F.when(F.col("rule") == k, compile_rule(r, F.col("content"), at)).otherwise(result)
-    rows = found.withColumn("r", result).withColumn("n", F.octet_length("content")).drop("content")
+
+    def test(c: Column) -> Column:
+        result = F.struct(pick([r.lines[0].text for r in rules], c).alias("description"), F.lit(True).alias("valid"), n.alias("size"), n.alias("jump"), n.alias("adjust"), none.cast("string").alias("name"))
+        for k, r in enumerate(rules):
+            if not plain[k]:
+                result = F.when(c["rule"] == k, compile_rule(r, F.col("content"), c["offset"])).otherwise(result)
+        return F.struct(c["rule"].alias("rule"), c["offset"].alias("at"), result.alias("r"))
+
+    rows = blobs.select("file_id", "content", _finder(rules)(F.col("content")).alias("found"))
+    rows = rows.select("file_id", F.octet_length("content").alias("n"), F.transform("found", test).alias("found"))
+    rows = rows.select("file_id", "n", F.explode("found").alias("c")).select("file_id", "n", "c.*")
+    at = F.col("at")
     bounds = (at + F.coalesce("r.size", F.lit(0)) <= F.col("n")) & (at + F.coalesce("r.jump", F.lit(0)) <= F.col("n"))
+    of = lambda values: pick(values, {"rule": F.col("rule")})
     rows = rows.select(
-        "file_id", (at + F.coalesce("r.adjust", F.lit(0))).alias("offset"), "rule", pick([r.title for r in rules]).alias("title"), pick([r.confidence for r in rules]).alias("confidence"),
-        "r.description", (F.col("r.valid") & bounds).alias("valid"), "r.size", "r.jump", "r.name", pick(["many" in r.tags for r in rules]).alias("many"), pick(["once" in r.tags for r in rules]).alias("once"),
+        "file_id", (at + F.coalesce("r.adjust", F.lit(0))).alias("offset"), "rule", of([r.title for r in rules]).alias("title"), of([r.confidence for r in rules]).alias("confidence"),
+        "r.description", (F.col("r.valid") & bounds).alias("valid"), "r.size", "r.jump", "r.name", of(["many" in r.tags for r in rules]).alias("many"), of(["once" in r.tags for r in rules]).alias("once"),
     )
     return rows if keep_invalid else rows.where("valid")
 
@@ -153,17 +168,20 @@ def group_entries(hits: DataFrame, first: str, last: str) -> DataFrame:
     return ranked.withColumn("extract", ~F.col("entry") | (rank == 1)).drop("part", "entry")
 
 
-def scan(blobs: DataFrame, rules: list[Rule] | None = None, include: list[str] | None = None, exclude: list[str] | None = None, dumb: bool = False) -> DataFrame:
+def scan(blobs: DataFrame, rules: list[Rule] | None = None, include: list[str] | None = None, exclude: list[str] | None = None, dumb: bool = False, plugins: tuple = ()) -> DataFrame:
     """The signature scan of (file_id, content): offset, title, description, size, jump, name, display of each hit.
 
-    With dumb, jumps are not followed. A null or empty blob has no hit.
+    A hit must fit one of the include patterns, and none of the exclude patterns, by its rule's title and
+    by its own description. Plugins are functions (hits, blobs) -> hits that run in order after validation
+    and before winners are chosen. With dumb, jumps are not followed. A null or empty blob has no hit.
     """
     rules = select_rules(rules if rules is not None else default_rules(), include, exclude)
-    hits = evaluate(candidates(blobs, rules), rules)
-    for p in include or ():
-        hits = hits.where(F.lower("description").rlike(p.lower())) if len(include) == 1 else hits
-    for p in exclude or ():
-        hits = hits.where(~F.lower("description").rlike(p.lower()))
+    hits = tested(blobs, rules)
+    said = lambda patterns: any_of(*[F.lower("description").rlike(p.lower()) for p in patterns])
+    hits = hits.where(said(include)) if include else hits
+    hits = hits.where(~said(exclude)) if exclude else hits
+    for plugin in plugins:
+        hits = plugin(hits, blobs)
     hits = checkpoint(winners(hits))  # narrow rows; what follows reads them several times
     hits = once(hits)
     if not dumb:
@@ -185,8 +203,10 @@ def rule_matches(hits: DataFrame, rules: DataFrame) -> DataFrame:
     """hits joined with every extraction rule whose expression is found in the lower-cased description.
 
     rules (priority, regex, ...) is a dimension table from a parameter file; its rows are the rules, so the
-    join is hits times rules and is evaluated by broadcasting them.
+    join is hits times rules and is evaluated by broadcasting them. More than MAX_RULES are refused.
     """
+    if rules.limit(MAX_RULES + 1).count() > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} extraction rules")
     return hits.join(F.broadcast(rules), F.expr("lower(description) rlike regex"))
 
 

@@ -46,8 +46,7 @@ def blocks(blobs: DataFrame, size: int = 1 << 20, peek: int = 8192) -> DataFrame
     """
     n = F.octet_length("content")
     starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))
-    out = blobs.select("file_id", n.alias("n"), "content", F.posexplode(starts).alias("block_id", "start"))
-    return out.select(
-        "file_id", "block_id", F.col("start").cast("long").alias("start"), F.least(F.lit(size), F.col("n") - F.col("start")).cast("long").alias("dlen"),
-        F.substring(F.col("content"), F.col("start") + 1, F.lit(size + peek)).alias("data"),
-    )
+    # slices are cut beside the blob and then made rows, so that no row carries the whole blob
+    part = lambda at: F.struct(at.cast("long").alias("start"), F.least(F.lit(size), n - at).cast("long").alias("dlen"), F.substring(F.col("content"), at + 1, F.lit(size + peek)).alias("data"))
+    out = blobs.select("file_id", F.transform(starts, part).alias("parts"))
+    return out.select("file_id", F.posexplode("parts").alias("block_id", "p")).select("file_id", "block_id", "p.*")
