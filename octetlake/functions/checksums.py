@@ -89,6 +89,9 @@ posix_cksum = _of_bytes(_posix_cksum)
 #: Sum of bytes modulo 256, and its two's complement.
 sum8 = _of_bytes(lambda b: int(b.sum(dtype=np.int64)) & 0xFF)
 sum8_complement = _of_bytes(lambda b: -int(b.sum(dtype=np.int64)) & 0xFF)
+#: Sum of bytes modulo 2**32, and what makes up 255 with the sum of bytes.
+byte_sum = _of_bytes(lambda b: int(b.sum(dtype=np.int64)) & 0xFFFFFFFF)
+sum8_inverted = _of_bytes(lambda b: 0xFF - (int(b.sum(dtype=np.int64)) & 0xFF))
 #: Sum of little-endian 16-bit words modulo 2**16 (an odd last byte counts as a word), and its two's complement.
 sum16 = _of_bytes(_sum16)
 sum16_complement = _of_bytes(lambda b: -_sum16(b) & 0xFFFF)
@@ -199,6 +202,29 @@ def xor_mask(content: Column, key: bytes, offset: int = 0) -> Column:
     return run(content)
 
 
+def xor_chain(content: Column, undo: bool = False) -> Column:
+    """Each byte XORed with all bytes before it and with the low byte of the CRC-16 (start 0xFFFF) of the plain content,
+    the CRC behind the coded bytes, low byte first; or, with undo, the plain content, null where the CRC does not fit."""
+
+    def code(b: np.ndarray) -> bytes:
+        crc = binascii.crc_hqx(b.tobytes(), 0xFFFF)
+        return (np.bitwise_xor.accumulate(b) ^ np.uint8(crc & 255)).tobytes() + crc.to_bytes(2, "little")
+
+    def plain(b: np.ndarray) -> bytes | None:
+        if len(b) < 2:
+            return None
+        crc, body = int(b[-2]) | int(b[-1]) << 8, b[:-2]
+        out = (body ^ np.concatenate([np.array([crc & 255], dtype=np.uint8), body[:-1]])[: len(body)]).tobytes()
+        return out if binascii.crc_hqx(out, 0xFFFF) == crc else None
+
+    @F.arrow_udf(T.BinaryType())
+    def run(col: pa.Array) -> pa.Array:
+        f = plain if undo else code
+        return pa.array([None if v is None else f(np.frombuffer(v, dtype=np.uint8)) for v in col.to_pylist()], pa.binary())
+
+    return run(content)
+
+
 def hmac_sha1(content: Column, key: bytes) -> Column:
     """HMAC with SHA-1, composed of Spark's sha1, as hex."""
     import hashlib

@@ -123,3 +123,14 @@ def strip_quoted(text: Column) -> Column:
 def quoted(text: Column) -> Column:
     """What stands between the first and the last double quote of a line; empty if there is none."""
     return F.regexp_extract(text, '(?d)"(.*)"', 1)
+
+
+def is_ascii(text: Column) -> Column:
+    """Nothing but characters from 1 to 127; an empty text is."""
+    return text.rlike(r"^[\x01-\x7F]*\z")
+
+
+def safe_path(path: Column) -> Column:
+    """A path in which every character but letters, digits, dots, dashes and slashes is '_' and no part is '..'."""
+    plain = F.regexp_replace(path, r"[^A-Za-z0-9._/-]", "_")
+    return F.regexp_replace(plain, r"(^|/)\.\.(/|$)", "$1_$2")

@@ -19,18 +19,18 @@ from octetlake.plans.shared import checkpoint
 
 #: (expression over the lower-cased description, extension, codec or null to carve only, recurse)
 RULES = [
-    ("^gzip compressed data", "gz", "gzip", True),
-    ("^zlib compressed data", "zlib", "zlib", True),
-    ("^xz compressed data", "xz", "xz", True),
-    ("^lzma compressed data", "lzma", "lzma", True),
-    ("^lzma compressed data", "lzma", "lzma_modem", True),
-    ("^bzip2 compressed data", "bz2", "bzip2", True),
-    ("^zip archive data", "zip", None, False),
-    ("^posix tar archive", "tar", None, False),
-    ("^squashfs filesystem", "squashfs", None, False),
-    ("^cramfs filesystem", "cramfs", None, False),
+    ("^gzip stream", "gz", "gzip", True),
+    ("^zlib stream", "zlib", "zlib", True),
+    ("^xz stream", "xz", "xz", True),
+    ("^lzma stream", "lzma", "lzma", True),
+    ("^lzma stream", "lzma", "lzma_modem", True),
+    ("^bzip2 stream", "bz2", "bzip2", True),
+    ("^zip member", "zip", None, False),
+    ("^tar archive", "tar", None, False),
+    ("^squashfs image", "squashfs", None, False),
+    ("^cramfs image", "cramfs", None, False),
     ("^jffs2 filesystem", "jffs2", None, False),
-    ("^elf,", "elf", None, False),
+    ("^elf object", "elf", None, False),
     ("private key$", "key", None, False),
     ("certificate$", "crt", None, False),
     ("^html document header", "html", None, False),

@@ -40,7 +40,7 @@ def split_trx(images: DataFrame) -> DataFrame:
     return rows.select("image_id", (F.row_number().over(w) - 1).alias("ord"), "offset", (F.coalesce(F.lead("offset").over(w), F.col("n")) - F.col("offset")).alias("length"))
 
 
-def header_and_footer(hits: DataFrame, images: DataFrame, filesystem: str = "filesystem") -> DataFrame:
+def header_and_footer(hits: DataFrame, images: DataFrame, filesystem: str = "fs image") -> DataFrame:
     """(image_id, fs_offset, fs_size, header, footer): the last filesystem hit divides an image; the footer is what
     follows the final run of one repeated byte (16 or more), if that run lies beyond the filesystem."""
     fs = hits.where(F.contains(F.lower("description"), F.lit(filesystem))).groupBy("file_id").agg(F.max(F.struct("offset", "size")).alias("h"))
@@ -81,7 +81,7 @@ def assemble(parts: DataFrame, filler: str = "FF") -> DataFrame:
 def place(content: Column, at: int | Column, new: Column, width: int) -> Column:
     """content with width bytes at an offset replaced."""
     off = F.lit(at) if isinstance(at, int) else at
-    return F.concat(F.substring(content, F.lit(1), off.cast("int")), new, _cut(content, off + width))
+    return F.overlay(content, new, (off + 1).cast("int"), F.lit(width))  # names the content once, so that expressions do not double
 
 
 def trx_crc(content: Column) -> Column:
@@ -97,9 +97,12 @@ def repair_trx(content: Column) -> Column:
 def repair_uimage(content: Column) -> Column:
     """First the data's CRC at 24, then the header's, taken with its own field zero, at 4; big-endian."""
     data = _cut(content, F.lit(64), F.lit(64) + lens.integer(content, 12, 4))
-    fresh = place(content, 24, lens.pack(F.crc32(data), 4), 4)
-    zeroed = place(fresh, 4, F.lit(bytes(4)), 4)
-    return place(fresh, 4, lens.pack(F.crc32(F.substring(zeroed, F.lit(1), F.lit(64))), 4), 4)
+
+    def header(fresh: Column) -> Column:
+        zeroed = place(fresh, 4, F.lit(bytes(4)), 4)
+        return place(fresh, 4, lens.pack(F.crc32(F.substring(zeroed, F.lit(1), F.lit(64))), 4), 4)
+
+    return _bind(place(content, 24, lens.pack(F.crc32(data), 4), 4), header)
 
 
 def repair_dlob(content: Column) -> Column:
@@ -111,17 +114,25 @@ def repair_dlob(content: Column) -> Column:
     return F.when(there, place(content, second + 12, F.unhex(F.md5(_cut(content, start, stop))), 16)).otherwise(content)
 
 
+def _bind(value: Column, f) -> Column:
+    """f(value), with value evaluated once."""
+    return F.transform(F.array(value), f)[0]
+
+
 def repair(content: Column) -> Column:
     """Whichever of the known headers the content has; others stay as they are."""
-    magic = F.hex(F.substring(content, F.lit(1), F.lit(4)))
-    return F.when(magic == "48445230", repair_trx(content)).when(magic == "27051956", repair_uimage(content)).when(magic == "5EA3A417", repair_dlob(content)).otherwise(content)
+
+    def of(c: Column) -> Column:
+        magic = F.hex(F.substring(c, F.lit(1), F.lit(4)))
+        return F.when(magic == "48445230", repair_trx(c)).when(magic == "27051956", repair_uimage(c)).when(magic == "5EA3A417", repair_dlob(c)).otherwise(c)
+
+    return _bind(content, of)
 
 
 def verify(content: Column) -> Column:
     """True if the stored checksum of a known header is right; null for other content."""
-    magic = F.hex(F.substring(content, F.lit(1), F.lit(4)))
-    known = magic.isin("48445230", "27051956", "5EA3A417")
-    return F.when(known, repair(content) == content)
+    known = ("48445230", "27051956", "5EA3A417")
+    return _bind(content, lambda c: F.when(F.hex(F.substring(c, F.lit(1), F.lit(4))).isin(*known), repair(c) == c))
 
 
 def cramfs_crc(content: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from octetlake.plans.shared import checkpoint
+
 
 def overlay(base: DataFrame, package: DataFrame, key: str = "path") -> DataFrame:
     """The tree after a package is laid over it: a file of the package replaces the base's, new files are added."""
@@ -38,3 +40,25 @@ def by_priority(tree: DataFrame, priorities: DataFrame, default: int = 0, key: s
     """tree with priority (from -32768 to 32767, the default where none is given), sorted from the highest, ties by key."""
     j = tree.join(priorities.select(key, F.col("priority").alias("__p")), key, "left").withColumn("priority", F.coalesce("__p", F.lit(default))).drop("__p")
     return j.orderBy(F.desc("priority"), key)
+
+
+def tree_paths(nodes: DataFrame, key: str, parent: str, name: str, max_depth: int = 64) -> DataFrame:
+    """(key, path, depth) of each node that hangs under a root (a node without parent), level by level. Names are joined by '/';
+    nodes of a circle or with a parent that is not there have no path. Each level is one join, checkpointed."""
+    nodes = nodes.select(F.col(key).alias("k"), F.col(parent).alias("p"), F.col(name).cast("string").alias("n"))
+    level = checkpoint(nodes.where("p is null").select("k", F.col("n").alias("path"), F.lit(0).alias("depth")))
+    out = level
+    for depth in range(1, max_depth + 1):
+        above = level.select(F.col("k").alias("up"), F.col("path").alias("before"))
+        level = checkpoint(nodes.join(above, F.col("p") == F.col("up")).select("k", F.concat_ws("/", "before", "n").alias("path"), F.lit(depth).alias("depth")))
+        if level.isEmpty():
+            break
+        out = out.unionByName(level)
+    return out.select(F.col("k").alias(key), "path", "depth")
+
+
+def same_sets(sets: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, first_key): the smallest key with the same set (a string); sets meet by a checksum of 16 bits and the whole set."""
+    rows = sets.select(key, F.pmod(F.crc32(F.col(value)), F.lit(1 << 16)).alias("bucket"), value)
+    first = rows.groupBy("bucket", value).agg(F.min(key).alias("first_key")).select(F.col("bucket").alias("b"), F.col(value).alias("v"), "first_key")
+    return rows.join(first, (F.col("bucket") == F.col("b")) & (F.col(value) == F.col("v"))).select(key, "first_key")

@@ -459,7 +459,7 @@ def assemble_with_padding(spark, d):
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Hits of the default rules in all pages, with the entropy of the 1 KiB block that each stands in."""
     pages = _pages(spark, d)
-    hits = scan.scan(pages)
+    hits = scan.scan(pages, present_first=True)
     b = stats.block_stats(pages, 1024).select("file_id", "block_id", "entropy", "chi_square")
     joined = hits.withColumn("block_id", F.floor(F.col("offset") / 1024).cast("int")).join(b, ["file_id", "block_id"])
     return joined.select(F.col("file_id").alias("page_id"), "offset", "description", "display", F.round("entropy", 6).alias("entropy"), F.round("chi_square", 4).alias("chi_square"))

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from octetlake.plans import catalog
+from octetlake.plans import catalog, formats  # noqa: F401 formats registers its queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
