@@ -126,3 +126,47 @@ def test_vectors_of_two_lengths(spark):
     got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.report(v).collect()}
     assert len(got) == len(rows)
     assert [got[k] for k in (30, 31, 40)] == [(2, 30)] * 3 and [got[k] for k in (50, 51)] == [(1, 50)] * 2
+
+
+def test_values_of_odd_rows(odd, labels, bench):
+    """What nulls, empty, wordless, very long and repeated texts give, operator by operator."""
+    by = lambda df: {r.doc_id: r for r in df.collect() if r.doc_id is not None}
+    tox, qual = by(toxicity.report(odd, labels)), by(quality.report(odd, labels))
+    for got in (tox, qual):
+        assert got[1].score == got[2].score == got[3].score == got[9].score  # null, empty and wordless texts have no features
+        assert got[5].score == got[6].score  # equal texts
+        assert all(0 <= r.score <= 1 for r in got.values())
+    lang = by(langid.report(odd))
+    assert all(tuple(lang[k])[2:] == ("und", 0.0) for k in (1, 2, 3, 9)) and lang[8].lang_pred in ("en", "de", "fr")
+    mixed = by(mixing.report(odd))
+    assert [mixed[k]["size"] for k in (1, 2, 3, 4, 5, 8, 9)] == [0, 0, 0, 300_000, 4, 4, 2]
+    assert all(mixed[k].taken == 0 for k in (1, 2, 3)) and all(r.taken % max(1, r["size"]) == 0 and r.taken <= 3 * r["size"] for r in mixed.values())
+    lic = by(license_scan.report(odd))
+    for k in (1, 2, 3, 9):
+        assert tuple(lic[k])[1:] == (0, 0, None, None, "", "", 0.0)
+    assert lic[4].n_words == 300_000 and lic[4].labels == ""
+    sim = by(simhash.report(odd))
+    assert sim[1].fingerprint == sim[2].fingerprint == sim[3].fingerprint == "0" * 16 and sim[3].component_id == 1
+    assert sim[6].component_id == 5 and sim[9].fingerprint != "0" * 16  # marks are words there
+    rows = by(sharding.report(odd))
+    assert [(rows[k]["size"], rows[k].text_crc32) for k in (1, 2)] == [(8, 0), (8, 0)] and rows[4]["size"] == len(LONG) + 8
+    assert rows[1].shard == rows[2].shard and rows[5].shard == rows[6].shard
+
+
+def test_two_null_ids_and_names_with_underscores(spark, labels, bench):
+    """Rows without id stay apart in every operator and stage; columns named like those used inside come back unharmed."""
+    rows = [(None, f"document number {i} without any id at all", "en", "s", 5) for i in range(4)] + [(5, "one text of five", "en", "s", 4), (5, "another text of five", "en", "s", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("__size", "__copy", "__contamination", "__toxicity", "__row_hash", "__key", "__hash", "match", "h"):
+        docs = docs.withColumn(name, docs["n_chars"])
+    for op, report in DOC_REPORTS.items():
+        assert report(docs, labels, bench).count() == 6, op
+    outs = {
+        "toxicity": toxicity.drop_toxic(docs, labels, 2.0), "simhash": simhash.drop_near_duplicates(docs), "cut": decontaminate.decontaminate(docs, bench, "cut"),
+        "slices": decontaminate.find_contamination(docs.drop("match"), bench, max_windows=1).drop("match").withColumn("match", docs["n_chars"]), "sharding": sharding.shard(docs).drop("shard", "slot"),
+    }
+    want = sorted(map(str, docs.collect()))
+    for name, out in outs.items():
+        assert sorted(map(str, out.select(*docs.columns).collect())) == want, name
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and {str(r) for r in mixed.collect()} <= set(want)
