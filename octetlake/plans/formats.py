@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from octetlake.functions import checksums as cs
 from octetlake.functions import codecs, lens
 from octetlake.functions.layouts import decode_struct, encode_struct
-from octetlake.operators import archives, extract, image, packages, rules, scan, stats, vendors
+from octetlake.operators import archives, extract, filesystems, image, packages, rules, scan, stats, vendors
 from octetlake.plans.catalog import _docs, _sql_bytes, _t, query
 from octetlake.plans.shared import checkpoint
 from octetlake.sources.blobs import limited, text_blobs
@@ -430,6 +430,54 @@ def compression_totals(spark, d):
     return archives.totals(e).select("size", "packed_size", F.round("ratio", 9).alias("ratio"))
 
 
+# --- file systems ---------------------------------------------------------------------------------------------------------------
+
+
+def _trees(spark, d) -> DataFrame:
+    return _entries(spark, d).select(F.col("archive_id").alias("image_id"), F.col("name").alias("path"), "content")
+
+
+@query(f"""SELECT conv_id, name AS path, 'file' AS kind, size, digest, true AS crc_ok FROM ({_ENTRIES}) UNION ALL SELECT conv_id, 'dir', 'dir', 24 * count(*), NULL, true FROM conversations GROUP BY conv_id""")
+def cramfs_walk(spark, d):
+    """Trees written as CramFS images and read back; a directory's size is that of its records."""
+    images = filesystems.build_cramfs(_trees(spark, d))
+    checked = filesystems.check_cramfs(images).select(F.col("image_id").alias("i"), F.col("ok").alias("crc_ok"))
+    j = filesystems.read_cramfs(images).join(checked, F.col("image_id") == F.col("i"))
+    return j.select(F.col("image_id").alias("conv_id"), "path", "kind", "size", F.md5("content").alias("digest"), "crc_ok")
+
+
+@query(f"""SELECT conv_id, name AS path, CASE WHEN size > 0 THEN CASE WHEN conv_id % 2 = 0 THEN 'zlib' ELSE 'lzma' END END AS codec, digest FROM ({_ENTRIES})""")
+def filesystem_codec_chain(spark, d):
+    """Images of two codecs, each read by the first codec of the chain that fits."""
+    t = _trees(spark, d)
+    images = filesystems.build_cramfs(t.where("image_id % 2 = 0")).unionByName(filesystems.build_cramfs(t.where("image_id % 2 <> 0"), "lzma"))
+    found = filesystems.read_cramfs(images, ("lzma", "zlib")).where("kind = 'file'")
+    return found.select(F.col("image_id").alias("conv_id"), "path", "codec", F.md5("content").alias("digest"))
+
+
+@query(f"""SELECT conv_id, name AS path, 'file' AS kind, 420 AS mode, size, digest FROM ({_ENTRIES}) UNION ALL SELECT DISTINCT conv_id, 'dir', 'dir', 493, 0, NULL FROM conversations""")
+def squashfs_walk(spark, d):
+    """Trees written as SquashFS 4 images of three codecs, with small blocks and shared fragments, and read back."""
+    t = _trees(spark, d)
+    images = [filesystems.build_squashfs(t.where(F.col("image_id") % 3 == k), codec, 1024) for k, codec in enumerate(filesystems.SQUASH_CODECS.values())]
+    return filesystems.read_squashfs(reduce(DataFrame.unionByName, images)).select(F.col("image_id").alias("conv_id"), "path", "kind", "mode", "size", F.md5("content").alias("digest"))
+
+
+@query(f"""WITH e AS ({_ENTRIES}) SELECT conv_id, CAST(300 + ord AS BIGINT) AS obj_id, name AS path, 'file' AS kind, size, digest FROM e
+UNION ALL SELECT DISTINCT conv_id, 257, 'dir', 'dir', 0, NULL FROM e UNION ALL SELECT conv_id, 258, 'alias', 'hard link', size, digest FROM e WHERE ord = 0""")
+def yaffs_walk(spark, d):
+    """Objects written as YAFFS2 pages and read back: a directory, its files, a hard link in the root, one deleted object, small pages."""
+    e = _entries(spark, d).select(F.col("archive_id").alias("image_id"), F.struct("ord", F.element_at(F.split("name", "/"), -1).alias("name"), "content").alias("e"))
+    w = Window.partitionBy("image_id").orderBy("e.ord")
+    files = e.select("image_id", (F.row_number().over(w) + 299).cast("long").alias("obj_id"), F.lit(257).alias("parent_id"), F.lit("file").alias("kind"), "e.name", "e.content")
+    one = e.select("image_id").distinct()
+    made = lambda obj, parent, kind, name: one.select("image_id", F.lit(obj).cast("long").alias("obj_id"), F.lit(parent).alias("parent_id"), F.lit(kind).alias("kind"), F.lit(name).alias("name"))
+    others = made(257, 1, "dir", "dir").unionByName(made(258, 1, "hard link", "alias").withColumn("equiv_id", F.lit(300)), allowMissingColumns=True).unionByName(made(259, 4, "file", "gone"), allowMissingColumns=True)
+    images = filesystems.build_yaffs(files.unionByName(others, allowMissingColumns=True), page=512, spare=16)
+    found = filesystems.read_yaffs(checkpoint(images), page=512, spare=16)
+    return found.select(F.col("image_id").alias("conv_id"), "obj_id", "path", "kind", "size", F.md5("content").alias("digest"))
+
+
 # --- ranges, statistics, checksums --------------------------------------------------------------------------------------------
 
 
