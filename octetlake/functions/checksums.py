@@ -242,3 +242,45 @@ def keyed_md5(content: Column, offset: int, key: bytes) -> Column:
 def is_sparse(content: Column) -> Column:
     """Nothing but zero bytes."""
     return F.decode(content, "ISO-8859-1").rlike(r"(?s)^\x00*\z")
+
+
+def feedback_cipher(content: Column, key: bytes, undo: bool = False) -> Column:
+    """The content under the PC1 stream cipher of vendor images (a key of 16 bytes), or, with undo, the plain content.
+
+    Eight 16-bit words of the key run through a multiplying register, whose outputs together give one byte of
+    the stream; then the plain byte is mixed into all bytes of the key. The constants are those of the
+    cipher. Each byte depends on all before it, so a value is one loop; values are spread over tasks.
+    """
+    if len(key) != 16:
+        raise ValueError("the key has 16 bytes")
+
+    def code(data: bytes) -> bytes:
+        words = [int.from_bytes(key[k : k + 2]) for k in range(0, 16, 2)]
+        total = last = 0
+        out = bytearray()
+        for byte in data:
+            x = mixed = 0
+            for i, word in enumerate(words):
+                x ^= word
+                step = 346 * x
+                total = ((total + i) * 20021 + step + last) & 0xFFFF
+                last = step & 0xFFFF
+                x = (x * 20021 + 1) & 0xFFFF
+                mixed ^= x ^ total
+            coded = byte ^ (mixed >> 8) ^ (mixed & 255)
+            out.append(coded)
+            plain = 0x101 * (coded if undo else byte)
+            words = [w ^ plain for w in words]
+        return bytes(out)
+
+    @F.arrow_udf(T.BinaryType())
+    def run(col: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else code(v) for v in col.to_pylist()], pa.binary())
+
+    return run(content)
+
+
+@F.arrow_udf(T.LongType())
+def crc32_onwards(register: pa.Array, content: pa.Array) -> pa.Array:
+    """The register of CRC-32 after more bytes, from the register before them, without inversions."""
+    return pa.array([None if r is None or v is None else _register(v, r & 0xFFFFFFFF) for r, v in zip(register.to_pylist(), content.to_pylist(), strict=True)], pa.int64())

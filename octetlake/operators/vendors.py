@@ -234,3 +234,32 @@ def srecords(lines: DataFrame, line: str = "line") -> DataFrame:
         F.when(there, F.substring(F.col("body"), width + 2, F.greatest(F.octet_length("body") - width - 2, F.lit(0)))).alias("data"),
         F.when(there, (F.octet_length("body") == F.conv(F.hex(F.substring("body", F.lit(1), F.lit(1))), 16, 10).cast("int") + 1) & (sum_ % 256 == 255)).alias("ok"),
     )
+
+
+def cksum_tag(content: Column, magic: int) -> Column:
+    """The content with a tag of 8 bytes behind it: a magic and its POSIX checksum, little-endian."""
+    return F.concat(content, F.lit(magic.to_bytes(4, "little")), lens.pack(cs.posix_cksum(content), 4, big=False))
+
+
+def read_cksum_tag(image: Column, magic: int) -> Column:
+    """The content before such a tag; null where there is none or its checksum does not fit."""
+    end = F.octet_length(image) - 8
+    data = F.substring(image, F.lit(1), F.greatest(end, F.lit(0)))
+    tagged = (end >= 0) & (lens.integer(image, end, 4, big=False) == magic)
+    return F.when(tagged & (cs.posix_cksum(data) == lens.integer(image, end + 4, 4, big=False)), data)
+
+
+def fixed_sum(image: Column, at: int) -> Column:
+    """The image with the sum of all bytes before a place at that place, in 16 bits, little-endian; null if it is shorter."""
+    value = lens.pack(cs.byte_sum(F.substring(image, 1, at)).bitwiseAND(F.lit(0xFFFF)), 2, big=False)
+    return F.when(F.octet_length(image) >= at + 2, F.overlay(image, value, at + 1, 2))
+
+
+def retag(image: Column, signature: str, more: bytes) -> Column:
+    """An image with a 256-byte tag for another firm: its signature, no certificates, the image's CRC carried on over more bytes, and
+    the tag's CRC anew; null if it is shorter. Fields are those of the layout bcm_tag."""
+    head = F.overlay(F.substring(image, 1, 256), F.lit(signature.encode().ljust(20, b"\0")), 5, 20)
+    head = F.overlay(head, F.lit(bytes(74)), 143, 74)
+    head = F.overlay(head, lens.pack(cs.crc32_onwards(lens.integer(image, 216, 4), F.lit(more)), 4), 217, 4)
+    head = F.concat(F.substring(head, 1, 236), lens.pack(cs.crc32_raw(F.substring(head, 1, 236)), 4), F.substring(head, 241, 16))
+    return F.when(F.octet_length(image) >= 256, F.concat(head, F.substring(image, F.lit(257), F.lit(BIG))))

@@ -277,6 +277,31 @@ def footers_and_labels(spark, d):
     )
 
 
+_KEY = b"0123456789abcdef"
+_FIRST = 158  # the first byte of this key's stream, worked out by hand
+
+
+@query(f"""SELECT conv_id, turn, CAST(strlen(text) AS INTEGER) AS n, coalesce(upper(lpad(to_hex(xor(TRY_CAST(('0x' || substr(hex(encode(text)), 1, 2)) AS INTEGER), {_FIRST})), 2, '0')), '') AS first_byte, md5(text) AS digest, CASE WHEN strlen(text) > 8 THEN true END AS other_key_fails FROM conversations WHERE text IS NOT NULL""")
+def cipher_round_trip(spark, d):
+    """Texts under a cipher whose stream depends on the key and on all bytes before, and plain again by the key only."""
+    t = _t(spark, d, "conversations").where("text is not null").select("conv_id", "turn", F.encode("text", "UTF-8").alias("content"))
+    coded = t.select("conv_id", "turn", cs.feedback_cipher(F.col("content"), _KEY).alias("c"))
+    plain = F.md5(cs.feedback_cipher(F.col("c"), _KEY, undo=True))
+    other = F.md5(cs.feedback_cipher(F.col("c"), _KEY[::-1], undo=True))
+    return coded.select("conv_id", "turn", F.octet_length("c").alias("n"), F.hex(F.substring("c", 1, 1)).alias("first_byte"), plain.alias("digest"), F.when(F.octet_length("c") > 8, plain != other).alias("other_key_fails"))
+
+
+@query(f"""SELECT conv_id, turn, md5(text) AS tagged, CAST(NULL AS VARCHAR) AS turned, upper(lpad(to_hex(s % 256), 2, '0') || lpad(to_hex(s // 256 % 256), 2, '0')) AS sum FROM (SELECT *, {_TALK_SUM} AS s FROM conversations WHERE text IS NOT NULL)""")
+def checksum_tags(spark, d):
+    """A tag with the POSIX checksum, read as it is and with the checksum's last byte turned; a sum at a fixed place."""
+    t = _t(spark, d, "conversations").where("text is not null").select("conv_id", "turn", F.encode("text", "UTF-8").alias("c"))
+    rows = t.select("conv_id", "turn", "c", vendors.cksum_tag(F.col("c"), 0x04030201).alias("g"))
+    last = F.octet_length("g")
+    turned = F.concat(F.substring(F.col("g"), F.lit(1), last - 1), lens.pack(255 - lens.integer(F.col("g"), last - 1, 1), 1))
+    padded = vendors.fixed_sum(F.unhex(F.rpad(F.hex("c"), 2 * 65536, "0")), 65530)
+    return rows.select("conv_id", "turn", F.md5(vendors.read_cksum_tag(F.col("g"), 0x04030201)).alias("tagged"), F.md5(vendors.read_cksum_tag(turned, 0x04030201)).alias("turned"), F.hex(F.substring(padded, 65531, 2)).alias("sum"))
+
+
 @query("""SELECT p_partkey, CAST(p_partkey * 63 AS BIGINT) AS start, CAST(p_size * 100 AS BIGINT) AS length, 131 AS kind, upper(lpad(to_hex(p_partkey % 16), 2, '0')) || upper(lpad(to_hex(1 | (((p_partkey // 16) >> 2) & 192)), 2, '0')) || upper(lpad(to_hex((p_partkey // 16) & 255), 2, '0')) AS chs FROM part""")
 def partition_table(spark, d):
     p = _t(spark, d, "part")
