@@ -249,10 +249,11 @@ def read_cksum_tag(image: Column, magic: int) -> Column:
     return F.when(tagged & (cs.posix_cksum(data) == lens.integer(image, end + 4, 4, big=False)), data)
 
 
-def fixed_sum(image: Column, at: int) -> Column:
+def fixed_sum(image: Column, at: Column | int) -> Column:
     """The image with the sum of all bytes before a place at that place, in 16 bits, little-endian; null if it is shorter."""
-    value = lens.pack(cs.byte_sum(F.substring(image, 1, at)).bitwiseAND(F.lit(0xFFFF)), 2, big=False)
-    return F.when(F.octet_length(image) >= at + 2, F.overlay(image, value, at + 1, 2))
+    at = F.lit(at) if isinstance(at, int) else at
+    value = lens.pack(cs.byte_sum(F.substring(image, F.lit(1), at)).bitwiseAND(F.lit(0xFFFF)), 2, big=False)
+    return F.when(F.octet_length(image) >= at + 2, F.overlay(image, value, at + 1, F.lit(2)))
 
 
 def retag(image: Column, signature: str, more: bytes) -> Column:

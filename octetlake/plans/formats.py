@@ -293,13 +293,13 @@ def cipher_round_trip(spark, d):
 
 @query(f"""SELECT conv_id, turn, md5(text) AS tagged, CAST(NULL AS VARCHAR) AS turned, upper(lpad(to_hex(s % 256), 2, '0') || lpad(to_hex(s // 256 % 256), 2, '0')) AS sum FROM (SELECT *, {_TALK_SUM} AS s FROM conversations WHERE text IS NOT NULL)""")
 def checksum_tags(spark, d):
-    """A tag with the POSIX checksum, read as it is and with the checksum's last byte turned; a sum at a fixed place."""
+    """A tag with the POSIX checksum, read as it is and with the checksum's last byte turned; a sum at a place of its own, here behind the text."""
     t = _t(spark, d, "conversations").where("text is not null").select("conv_id", "turn", F.encode("text", "UTF-8").alias("c"))
     rows = t.select("conv_id", "turn", "c", vendors.cksum_tag(F.col("c"), 0x04030201).alias("g"))
     last = F.octet_length("g")
     turned = F.concat(F.substring(F.col("g"), F.lit(1), last - 1), lens.pack(255 - lens.integer(F.col("g"), last - 1, 1), 1))
-    padded = vendors.fixed_sum(F.unhex(F.rpad(F.hex("c"), 2 * 65536, "0")), 65530)
-    return rows.select("conv_id", "turn", F.md5(vendors.read_cksum_tag(F.col("g"), 0x04030201)).alias("tagged"), F.md5(vendors.read_cksum_tag(turned, 0x04030201)).alias("turned"), F.hex(F.substring(padded, 65531, 2)).alias("sum"))
+    summed = vendors.fixed_sum(F.concat("c", F.lit(bytes(4))), F.octet_length("c"))
+    return rows.select("conv_id", "turn", F.md5(vendors.read_cksum_tag(F.col("g"), 0x04030201)).alias("tagged"), F.md5(vendors.read_cksum_tag(turned, 0x04030201)).alias("turned"), F.hex(F.substring(summed, F.octet_length("c") + 1, F.lit(2))).alias("sum"))
 
 
 @query("""SELECT p_partkey, CAST(p_partkey * 63 AS BIGINT) AS start, CAST(p_size * 100 AS BIGINT) AS length, 131 AS kind, upper(lpad(to_hex(p_partkey % 16), 2, '0')) || upper(lpad(to_hex(1 | (((p_partkey // 16) >> 2) & 192)), 2, '0')) || upper(lpad(to_hex((p_partkey // 16) & 255), 2, '0')) AS chs FROM part""")
@@ -565,16 +565,16 @@ _REFLECTED = "xor(c >> 8, lo[xor(c & 255, x) + 1])"
 
 
 @query(f"""WITH t AS (SELECT CAST({_LOW} AS BIGINT[]) AS lo, CAST({_HIGH} AS BIGINT[]) AS hi, CAST({_SHORT} AS BIGINT[]) AS sh),
-b AS (SELECT conv_id, turn, text, strlen(text) AS n, [CAST(('0x' || substr(hex(encode(text)), CAST(2 * i + 1 AS BIGINT), 2)) AS BIGINT) for i in range(strlen(text))] AS bs, lo, hi, sh FROM conversations, t WHERE strlen(text) BETWEEN 1 AND 65535)
+b AS (SELECT conv_id, turn, text, strlen(text) AS n, [CAST(('0x' || substr(hex(encode(text)), CAST(2 * i + 1 AS BIGINT), 2)) AS BIGINT) for i in range(strlen(text))] AS bs, lo, hi, sh FROM conversations, t WHERE text IS NOT NULL)
 SELECT conv_id, turn, xor({_STEP.format(start='4294967295', f=_REFLECTED)}, 4294967295) AS crc32, {_STEP.format(start='4294967295', f=_REFLECTED)} AS crc32_raw, {_STEP.format(start='0', f=_REFLECTED)} AS crc32_from_zero,
 {_STEP.format(start='0', f='xor((c << 8) & 65535, sh[xor(c >> 8, x) + 1])')} AS crc16,
-xor({_STEP.format(start='0', f='xor((c << 8) & 4294967295, hi[xor(c >> 24, x) + 1])').replace('bs)', "list_concat(bs, CASE WHEN n > 255 THEN [n & 255, n >> 8] ELSE [n] END))")}, 4294967295) AS cksum,
+xor({_STEP.format(start='0', f='xor((c << 8) & 4294967295, hi[xor(c >> 24, x) + 1])').replace('bs)', "list_concat(bs, [CAST((n >> CAST(8 * k AS BIGINT)) & 255 AS BIGINT) for k in range(8) if (n >> CAST(8 * k AS BIGINT)) > 0]))")}, 4294967295) AS cksum,
 {_STEP.format(start='0', f='xor(xor(c >> 8, lo[xor(c & 255, x) + 1]), CASE WHEN x > 127 THEN 16777215 ELSE 0 END)')} AS signed_crc,
 sha1(unhex('{bytes(x ^ 0x5C for x in b"key".ljust(64, bytes(1))).hex()}' || sha1(unhex('{bytes(x ^ 0x36 for x in b"key".ljust(64, bytes(1))).hex()}' || hex(encode(text)))))) AS hmac,
 md5(unhex(substr(hex(encode(text)), 1, 4) || '6B6579' || substr(hex(encode(text)), 11))) AS keyed FROM b""")
 def crc_checksums(spark, d):
     """CRC variants, HMAC and keyed MD5 of the conversations' texts, folded byte by byte in SQL."""
-    t = _t(spark, d, "conversations").where(F.octet_length("text").between(1, 65535)).select("conv_id", "turn", F.encode("text", "UTF-8").alias("content"))
+    t = _t(spark, d, "conversations").where("text is not null").select("conv_id", "turn", F.encode("text", "UTF-8").alias("content"))
     c = F.col("content")
     return t.select(
         "conv_id", "turn", F.crc32(c).alias("crc32"), cs.crc32_raw(c).alias("crc32_raw"), cs.crc32_from_zero(c).alias("crc32_from_zero"), cs.crc16_ccitt(c).alias("crc16"), cs.posix_cksum(c).alias("cksum"),
