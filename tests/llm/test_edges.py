@@ -110,6 +110,15 @@ def test_urls(spark):
     assert url_filter.report(pages.limit(0)).count() == 0
 
 
+def test_prefix_rules_are_the_contract_s(spark):
+    """Each rule's word as the contract lists them; net/ allows, also where a glob of the filter's own would block."""
+    said = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+    assert {h + p: v for h, p, v in url_filter.PREFIX_RULES} == said
+    pages = spark.createDataFrame([(0, "http://a.net/de/1"), (1, "http://ads.example.net/de/x.zip"), (2, "http://example.net/de/81"), (3, "http://a.net/en/x.zip")], "page_id long, url string")
+    got = [tuple(r)[3:] for r in url_filter.report(pages).orderBy("page_id").collect()]
+    assert got == [("net/de/", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), (None, "block")]
+
+
 def test_simhash_keeps_one_row_of_each_group(spark):
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
     rows = [(None, a, "en", "s", 1), (None, b, "en", "s", 1), (5, c, "en", "s", 1), (5, d, "en", "s", 1), (6, c, "en", "s", 1), (7, c, "en", "s", 1)]
