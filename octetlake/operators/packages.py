@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from octetlake.plans.shared import checkpoint
+from octetlake.plans.shared import written
 
 
 def overlay(base: DataFrame, package: DataFrame, key: str = "path") -> DataFrame:
@@ -44,13 +44,13 @@ def by_priority(tree: DataFrame, priorities: DataFrame, default: int = 0, key: s
 
 def tree_paths(nodes: DataFrame, key: str, parent: str, name: str, max_depth: int = 64) -> DataFrame:
     """(key, path, depth) of each node that hangs under a root (a node without parent), level by level. Names are joined by '/';
-    nodes of a circle or with a parent that is not there have no path. Each level is one join, checkpointed."""
-    nodes = nodes.select(F.col(key).alias("k"), F.col(parent).alias("p"), F.col(name).cast("string").alias("n"))
-    level = checkpoint(nodes.where("p is null").select("k", F.col("n").alias("path"), F.lit(0).alias("depth")))
+    nodes of a circle or with a parent that is not there have no path. Each level is one join, written out."""
+    nodes = written(nodes.select(F.col(key).alias("k"), F.col(parent).alias("p"), F.col(name).cast("string").alias("n")))
+    level = written(nodes.where("p is null").select("k", F.col("n").alias("path"), F.lit(0).alias("depth")))
     out = level
     for depth in range(1, max_depth + 1):
         above = level.select(F.col("k").alias("up"), F.col("path").alias("before"))
-        level = checkpoint(nodes.join(above, F.col("p") == F.col("up")).select("k", F.concat_ws("/", "before", "n").alias("path"), F.lit(depth).alias("depth")))
+        level = written(nodes.join(above, F.col("p") == F.col("up")).select("k", F.concat_ws("/", "before", "n").alias("path"), F.lit(depth).alias("depth")))
         if level.isEmpty():
             break
         out = out.unionByName(level)
