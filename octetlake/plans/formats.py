@@ -12,7 +12,7 @@ from octetlake.functions import codecs, lens
 from octetlake.functions.layouts import decode_struct, encode_struct
 from octetlake.operators import archives, extract, filesystems, image, packages, rules, scan, stats, vendors
 from octetlake.plans.catalog import _docs, _sql_bytes, _t, query
-from octetlake.plans.shared import checkpoint
+from octetlake.plans.shared import checkpoint, spread
 from octetlake.sources.blobs import limited, text_blobs
 
 BIG = (1 << 31) - 1
@@ -531,10 +531,10 @@ def island_verdicts(spark, d):
     """Every byte once in each block: even everywhere, but for one piece of a single byte in every other file."""
     flat = bytes(range(256)) * 20
     odd = flat[:512] + b"\x55" * 32 + flat[512:]
-    c = _t(spark, d, "customer")
+    c = spread(_t(spark, d, "customer").select("c_custkey"), "c_custkey")
     blobs = c.select(F.col("c_custkey").alias("file_id"), F.when(F.col("c_custkey") % 2 == 0, F.lit(flat)).otherwise(F.lit(odd)).alias("content"))
     found = stats.islands(stats.block_stats(blobs, 1024), 0.9, 4096)
-    return stats.verdicts(found, blobs).select(F.col("file_id").alias("c_custkey"), "verdict", "n_odd")
+    return stats.verdicts(found, blobs, block=1024).select(F.col("file_id").alias("c_custkey"), "verdict", "n_odd")
 
 
 @query("""SELECT doc_id, n, true AS bounded, true AS repeats_are_lower FROM (SELECT doc_id, CAST((strlen(text) + 1023) // 1024 AS BIGINT) AS n FROM documents WHERE strlen(text) > 0)""")

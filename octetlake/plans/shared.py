@@ -31,3 +31,8 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{_folder(df)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Narrow rows of a table that may be one small file, dealt over all tasks before each is made a costly blob."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
