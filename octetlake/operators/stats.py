@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -177,18 +178,33 @@ def byte_histogram(blobs: DataFrame) -> DataFrame:
     return rows.groupBy("byte").agg(F.sum("n").alias("n"))
 
 
-@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("tuple", T.LongType()), T.StructField("n", T.LongType())])))
-def _triples(content: pa.Array) -> pa.Array:
-    out = []
-    for v in content.to_pylist():
-        b = np.frombuffer(v or b"", dtype=np.uint8)
-        b = b[: len(b) - len(b) % 3].reshape(-1, 3).astype(np.int64)
-        k, n = np.unique((b[:, 0] << 16) | (b[:, 1] << 8) | b[:, 2], return_counts=True)
-        out.append([{"tuple": int(x), "n": int(y)} for x, y in zip(k, n, strict=True)])
-    return pa.array(out, pa.list_(pa.struct([("tuple", pa.int64()), ("n", pa.int64())])))
+_TRIPLES = 4 << 20  # bytes of blobs whose triples are counted together
+
+
+def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the triples of several blobs at a time, as arrays."""
+
+    def counted(keys: list[np.ndarray]) -> pa.RecordBatch:
+        k, n = np.unique(np.concatenate(keys), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(n.astype(np.int64))], ["tuple", "n"])
+
+    keys, held = [], 0
+    for batch in batches:
+        for v in batch.column(0):
+            b = np.frombuffer(v.as_py() or b"", dtype=np.uint8)
+            for at in range(0, len(b) // 3 * 3, _TRIPLES // 3 * 3):
+                t = b[at : at + _TRIPLES // 3 * 3]
+                t = t[: len(t) // 3 * 3].reshape(-1, 3).astype(np.int32)
+                keys.append((t[:, 0] << 16) | (t[:, 1] << 8) | t[:, 2])
+                held += 3 * len(t)
+                if held >= _TRIPLES:
+                    yield counted(keys)
+                    keys, held = [], 0
+    if keys:
+        yield counted(keys)
 
 
 def tuple_counts(blobs: DataFrame, top: int = 25_000) -> DataFrame:
     """(tuple, n): the most frequent byte triples at offsets 0, 3, 6, ...; ties go to the smaller triple."""
-    rows = blobs.select(F.explode(_triples("content")).alias("t")).select("t.*")
+    rows = blobs.select("content").mapInArrow(_triples, "tuple long, n long")
     return rows.groupBy("tuple").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "tuple").limit(top)

@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from octetlake.operators import packages, stats
@@ -37,3 +38,13 @@ def test_block_statistics_are_plain_ones(spark):
     found = stats.islands(stats.block_stats(df, 256), 0.5, 512)
     rows = lambda **k: sorted(map(tuple, stats.verdicts(found, df, **k).collect()))
     assert rows(block=256) == rows() != []
+
+
+def test_triples_are_counted_as_arrays(spark, monkeypatch):
+    monkeypatch.setattr(stats, "_TRIPLES", 7)
+    out = list(stats._triples([pa.RecordBatch.from_arrays([pa.array([b"abcabcabcd", None, b"", b"xyzab", b"abc"], pa.binary())], ["content"])]))
+    total = Counter()
+    for b in out:
+        total.update(dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)))
+    number = lambda t: int.from_bytes(t, "big")
+    assert total == {number(b"abc"): 4, number(b"xyz"): 1} and len(out) > 1
