@@ -9,36 +9,68 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _class(values, n):
-    """green: all equal; red: all distinct (a missing byte is a value of its own); blue: some. One file is all red."""
-    kinds = F.size(F.array_distinct(F.filter(values, lambda x: x.isNotNull()))) + F.size(F.filter(values, lambda x: x.isNull()))
-    return F.when(kinds == n, "red").when(kinds == 1, "green").otherwise("blue")
-
-
-def hex_diff(files: DataFrame, width: int = 16) -> DataFrame:
-    """(group_id, offset, cells, line_class): rows of `width` bytes of the files (group_id, ord, content) of each group.
-
-    cells are struct(hex digits of each file, 'XX' where it has ended; class). A row is green if all
-    its cells are, red if any is red, else blue. Rows come from slices of the files joined on the
-    offset, so no file is exploded to bytes.
+_NAMES = np.array(["green", "blue", "red"])
+_DIGITS = np.array([*(f"{b:02X}" for b in range(256)), "XX"])  # the last one for -1
+_LINE = [T.StructField("line_class", T.StringType()), *[T.StructField(f"n_{k}", T.LongType()) for k in ("green", "blue", "red")]]
+_CELL = T.ArrayType(T.StructType([T.StructField("bytes", T.StringType()), T.StructField("kind", T.StringType())]))
+_AT_ONCE = 256  # lines of a group that are compared together
+
+
+def _compared(files: list[bytes | None], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of each file (-1 where it has ended), and each place's class: 0 green: all equal; 2 red: all distinct (a missing
+    byte is a value of its own); 1 blue: some; -1 beyond the longest file. One file is all red."""
+    longest = max(len(f or b"") for f in files)
+    m = np.full((len(files), -(-longest // width) * width), -1, dtype=np.int16)
+    for k, f in enumerate(files):
+        m[k, : len(f or b"")] = np.frombuffer(f or b"", dtype=np.uint8)
+    s = np.sort(m, axis=0)
+    kinds = (s[0] >= 0).astype(np.int64) + ((s[1:] != s[:-1]) & (s[1:] >= 0)).sum(axis=0) + (s < 0).sum(axis=0)
+    code = np.where(kinds == len(files), 2, np.where(kinds == 1, 0, 1))
+    code[longest:] = -1
+    return m, code
+
+
+def _lines(width: int, cells: bool):
+    @F.arrow_udf(T.ArrayType(T.StructType(_LINE + [T.StructField("cells", _CELL)] * cells)))
+    def run(col: pa.Array) -> pa.Array:
+        sizes, counts, shown = [0], [np.zeros((0, 3), np.int64)], []
+        for row in col:
+            m, code = _compared(row.as_py(), width)
+            by_line = code.reshape(-1, width)
+            counts.append(np.stack([(by_line == k).sum(axis=1) for k in range(3)], axis=1))
+            sizes.append(len(by_line))
+            if cells:
+                bytes_, kind = [" ".join(x) for x in _DIGITS[m.T]], _NAMES[code]
+                shown += [[{"bytes": bytes_[i], "kind": kind[i]} for i in range(at, min(at + width, len(code))) if code[i] >= 0] for at in range(0, len(code), width)]
+        n = np.concatenate(counts)
+        name = pa.array(_NAMES[np.where(n[:, 2] > 0, 2, np.where(n[:, 1] > 0, 1, 0))].astype(object), pa.string())
+        columns = [name, *[pa.array(n[:, k].copy(), pa.int64()) for k in range(3)]]
+        if cells:
+            columns.append(pa.array(shown, pa.list_(pa.struct([("bytes", pa.string()), ("kind", pa.string())]))))
+        fields = [f.name for f in _LINE] + ["cells"] * cells
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), pa.StructArray.from_arrays(columns, fields))
+
+    return run
+
+
+def hex_diff(files: DataFrame, width: int = 16, cells: bool = True) -> DataFrame:
+    """(group_id, offset, cells, line_class, n_green, n_blue, n_red): rows of `width` bytes of the files (group_id, ord, content) of each group.
+
+    cells are struct(hex digits of each file, 'XX' where it has ended; class); without them only the classes and numbers of
+    cells are made. A row is green if all its cells are, red if any is red, else blue. Slices of the files meet by group
+    and offset, so no file is exploded to bytes or lines; the lines of slices that met are compared as arrays.
     """
-    n = F.octet_length("content")
+    n, step = F.octet_length("content"), width * _AT_ONCE
     # slices are cut beside the file and then made rows, so that no row carries the whole file
-    part = lambda at: F.struct(at.alias("offset"), F.hex(F.substring(F.col("content"), at + 1, F.lit(width))).alias("h"))
-    rows = files.where(n > 0).select("group_id", "ord", F.transform(F.sequence(F.lit(0), n - 1, F.lit(width)), part).alias("parts"))
+    part = lambda at: F.struct(at.alias("offset"), F.substring(F.col("content"), at + 1, F.lit(step)).alias("h"))
+    rows = files.where(n > 0).select("group_id", "ord", F.transform(F.sequence(F.lit(0), n - 1, F.lit(step)), part).alias("parts"))
     rows = rows.select("group_id", "ord", F.explode("parts").alias("p")).select("group_id", "ord", "p.*")
-    members = files.groupBy("group_id").agg(F.count(F.lit(1)).alias("files"), F.array_sort(F.collect_list("ord")).alias("ords"), F.max(n).alias("longest"))
-    lines = rows.groupBy("group_id", "offset").agg(F.map_from_entries(F.collect_list(F.struct("ord", "h"))).alias("by")).join(members, "group_id")
-
-    def cell(i):
-        at = F.transform("ords", lambda o: F.nullif(F.substring(F.coalesce(F.try_element_at("by", o), F.lit("")), 2 * i + 1, F.lit(2)), F.lit("")))
-        return F.struct(F.array_join(F.transform(at, lambda x: F.coalesce(x, F.lit("XX"))), " ").alias("bytes"), _class(at, F.col("files")).alias("kind"))
-
-    last = F.least(F.lit(width), F.col("longest") - F.col("offset")) - 1
-    cells = lines.withColumn("cells", F.transform(F.sequence(F.lit(0), last), cell))
-    kinds = F.transform("cells", lambda c: c["kind"])
-    line = F.when(F.array_contains(kinds, "red"), "red").when(F.array_contains(kinds, "blue"), "blue").otherwise("green")
-    return cells.select("group_id", F.col("offset").cast("long").alias("offset"), "cells", line.alias("line_class"))
+    members = files.groupBy("group_id").agg(F.array_sort(F.collect_list("ord")).alias("ords"))
+    met = rows.groupBy("group_id", "offset").agg(F.map_from_entries(F.collect_list(F.struct("ord", "h"))).alias("by")).join(members, "group_id")
+    met = met.select("group_id", "offset", F.transform("ords", lambda o: F.try_element_at("by", o)).alias("slices"))
+    lines = met.select("group_id", F.col("offset").alias("start"), F.posexplode(_lines(width, cells)(F.col("slices"))).alias("k", "l"))
+    shown = ["l.cells"] * cells
+    return lines.select("group_id", (F.col("start") + F.col("k") * width).cast("long").alias("offset"), *shown, "l.line_class", "l.n_green", "l.n_blue", "l.n_red")
 
 
 def collapse(lines: DataFrame, show: tuple[str, ...] = ("red", "blue")) -> DataFrame:

@@ -320,15 +320,13 @@ l AS (SELECT group_id, i // 16 AS line, CASE WHEN bool_or(kind = 'red') THEN 're
 
 @query(_SQL_DIFF + "SELECT group_id, CAST(line * 16 AS BIGINT) AS \"offset\", line_class, n_green, n_blue, n_red FROM l")
 def hexdiff_classes(spark, d):
-    lines = diff.hex_diff(_trios(spark, d))
-    n = lambda k: F.size(F.filter("cells", lambda c: c["kind"] == k)).cast("long").alias(f"n_{k}")
-    return lines.select("group_id", "offset", "line_class", n("green"), n("blue"), n("red"))
+    return diff.hex_diff(_trios(spark, d), cells=False)
 
 
 @query(_SQL_DIFF + """SELECT group_id, CAST(line * 16 AS BIGINT) AS "offset", star FROM (SELECT *, line_class = 'red' AS star, coalesce(lag(line_class = 'red') OVER (PARTITION BY group_id ORDER BY line), false) AS again FROM l) WHERE NOT (star AND again)""")
 def hexdiff_collapse(spark, d):
     """Here the all-different lines are the ones that collapse: neighbouring documents rarely agree."""
-    return diff.collapse(diff.hex_diff(_trios(spark, d)), ("green", "blue")).select("group_id", "offset", "star")
+    return diff.collapse(diff.hex_diff(_trios(spark, d), cells=False), ("green", "blue")).select("group_id", "offset", "star")
 
 
 @query("SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_id FROM documents WHERE text IS NOT NULL")

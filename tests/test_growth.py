@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from octetlake.operators import packages, stats
+from octetlake.operators import diff, packages, stats
 from octetlake.plans.shared import written
 
 
@@ -48,3 +48,23 @@ def test_triples_are_counted_as_arrays(spark, monkeypatch):
         total.update(dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)))
     number = lambda t: int.from_bytes(t, "big")
     assert total == {number(b"abc"): 4, number(b"xyz"): 1} and len(out) > 1
+
+
+def test_hex_diff_against_bytes(spark, monkeypatch):
+    """Cells, classes and numbers of files of all lengths, over several slices, against a look at each byte."""
+    monkeypatch.setattr(diff, "_AT_ONCE", 2)
+    groups = {0: [b"a" * 70, b"a" * 33 + b"b" * 40, b""], 1: [b"xyz"], 2: [b"0123456789abcdefX", b"0123456789abcdefX"], 3: [b"", b""], 4: [bytes(range(50)), bytes(range(48)), bytes(range(40)) + b"z"]}
+    df = spark.createDataFrame([(g, k, c) for g, cs in groups.items() for k, c in enumerate(cs)], "group_id long, ord long, content binary")
+    want = {}
+    for g, cs in groups.items():
+        for at in range(0, max(map(len, cs)), 16):
+            cells = []
+            for i in range(at, min(at + 16, max(map(len, cs)))):
+                v = [c[i : i + 1] for c in cs]
+                kinds = len({x for x in v if x}) + v.count(b"")
+                cells.append((" ".join(x.hex().upper() or "XX" for x in v), "red" if kinds == len(cs) else "green" if kinds == 1 else "blue"))
+            k = Counter(c[1] for c in cells)
+            want[g, at] = (cells, "red" if k["red"] else "blue" if k["blue"] else "green", k["green"], k["blue"], k["red"])
+    got = {(r.group_id, r.offset): ([tuple(c) for c in r.cells], *r[3:]) for r in diff.hex_diff(df).collect()}
+    assert got == want
+    assert {(r.group_id, r.offset): tuple(r[2:]) for r in diff.hex_diff(df, cells=False).collect()} == {k: v[1:] for k, v in want.items()}
