@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from octetlake.functions import checksums as cs
 from octetlake.operators import diff, packages, stats
 from octetlake.plans.shared import written
 
@@ -68,3 +69,19 @@ def test_hex_diff_against_bytes(spark, monkeypatch):
     got = {(r.group_id, r.offset): ([tuple(c) for c in r.cells], *r[3:]) for r in diff.hex_diff(df).collect()}
     assert got == want
     assert {(r.group_id, r.offset): tuple(r[2:]) for r in diff.hex_diff(df, cells=False).collect()} == {k: v[1:] for k, v in want.items()}
+
+
+def test_cipher_side_by_side_is_one_by_one(spark, monkeypatch):
+    """Values of all lengths and null, stepped together and one by one; each is plain again by its key."""
+    key = bytes(range(16))
+    df = spark.createDataFrame([(k, None if k == 7 else bytes((i * k) % 256 for i in range(k * k % 97))) for k in range(80)], "k long, c binary").coalesce(1)
+
+    def coded() -> dict:
+        rows = df.select("k", "c", cs.feedback_cipher(F.col("c"), key).alias("e")).select("k", "c", "e", cs.feedback_cipher(F.col("e"), key, undo=True).alias("p")).collect()
+        assert all(r.p == r.c for r in rows)
+        return {r.k: r.e for r in rows}
+
+    monkeypatch.setattr(cs, "_SIDE_BY_SIDE", 10**9)  # the loop over one value
+    alone = coded()
+    monkeypatch.setattr(cs, "_SIDE_BY_SIDE", 4)
+    assert coded() == alone and alone[7] is None and alone[0] == b"" and hasattr(cs, "_SIDE_BY_SIDE")
