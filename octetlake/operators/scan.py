@@ -197,10 +197,13 @@ def scan(blobs: DataFrame, rules: list[Rule] | None = None, include: list[str] |
     for plugin in plugins:
         hits = plugin(hits, blobs)
     hits = checkpoint(winners(hits))  # narrow rows; what follows reads them several times
-    hits = once(hits)
-    if not dumb:
+    tags = {t for r in rules for line in r.lines for t in line.tags}
+    # a step for which no rule has a tag would change nothing; plugins may add what no rule says
+    if plugins or "once" in tags:
+        hits = once(hits)
+    if not dumb and (plugins or "jump" in tags):
         hits = follow_jumps(hits)
-    return suppress_runs(hits)
+    return suppress_runs(hits) if plugins or "many" in tags else hits.withColumn("display", F.lit(True))
 
 
 def prefix_match(blobs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:

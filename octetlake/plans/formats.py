@@ -40,7 +40,7 @@ _RECORD_RULES = r"""
 
 def _records(spark, d) -> DataFrame:
     """Orders as blobs: some dots, then a record that points to its own name field."""
-    o = _t(spark, d, "orders")
+    o = spread(_t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "o_orderkey")
     k = F.col("o_orderkey")
     n = F.pmod(k, F.lit(5)).cast("int")
     body = F.concat(
@@ -364,7 +364,7 @@ def header_footer_split(spark, d):
 
 @query("""SELECT c_custkey, ord, kind, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM customer, LATERAL (VALUES (0, 'gap', 0, 10 + c_custkey % 3), (1, 'filesystem', 10 + c_custkey % 3, 110 + c_custkey % 3), (2, 'gap', 110 + c_custkey % 3, 117 + c_custkey % 3), (3, 'filesystem', 117 + c_custkey % 3, 217 + c_custkey % 3)) v(ord, kind, start, stop)""")
 def multi_filesystem_split(spark, d):
-    c = _t(spark, d, "customer")
+    c = spread(_t(spark, d, "customer").select("c_custkey"), "c_custkey")
     fs = F.concat(encode_struct("squashfs4", {"magic": F.lit("hsqs"), "major": F.lit(4), "bytes_used": F.lit(100)}), F.lit(b"x" * 4))
     blob = F.concat(F.unhex(F.repeat(F.lit("2E"), (10 + F.col("c_custkey") % 3).cast("int"))), fs, F.lit(b"-------"), fs)
     hits = scan.tested(c.select(F.col("c_custkey").alias("file_id"), blob.alias("content")), [r for r in rules.default_rules() if r.title.startswith("SquashFS")])

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from octetlake.functions import checksums as cs
-from octetlake.operators import diff, packages, stats
+from octetlake.operators import diff, packages, rules, scan, stats
 from octetlake.plans.shared import written
 
 
@@ -85,3 +85,14 @@ def test_cipher_side_by_side_is_one_by_one(spark, monkeypatch):
     alone = coded()
     monkeypatch.setattr(cs, "_SIDE_BY_SIDE", 4)
     assert coded() == alone and alone[7] is None and alone[0] == b"" and hasattr(cs, "_SIDE_BY_SIDE")
+
+
+def test_scan_skips_steps_no_rule_asks_for(spark):
+    """Rules without the tags once, jump and many cost no join and no window behind the winners; hits are all displayed."""
+    df = spark.createDataFrame([(1, b"..MAGI..MAGI"), (2, b"none"), (3, None)], "file_id long, content binary")
+    hits = scan.scan(df, rules.parse("0 string MAGI Record"))
+    assert sorted((r.file_id, r.offset, r.display) for r in hits.collect()) == [(1, 2, True), (1, 8, True)]
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
+    many = scan.scan(df, rules.parse("0 string MAGI Record {many}"))
+    assert sorted((r.file_id, r.offset, r.display) for r in many.collect()) == [(1, 2, True), (1, 8, False)]
