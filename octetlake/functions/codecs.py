@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from octetlake.functions.batches import stepwise
+
 LIMIT = 64 << 20
 RESULT = T.StructType([T.StructField("ok", T.BooleanType()), T.StructField("truncated", T.BooleanType()), T.StructField("over", T.BooleanType()), T.StructField("data", T.BinaryType()), T.StructField("consumed", T.LongType())])
 _ARROW = pa.struct([("ok", pa.bool_()), ("truncated", pa.bool_()), ("over", pa.bool_()), ("data", pa.binary()), ("consumed", pa.int64())])
@@ -58,13 +60,18 @@ CODECS: dict[str, Callable[[bytes, int], dict]] = {
 UNSUPPORTED = ("lzo", "lha", "rar", "arj", "compress", "stuffit")
 
 
+def decoded(codec: str, col: pa.Array, limit: int = LIMIT) -> list[dict]:
+    """The results of one codec for an array of values."""
+    f = CODECS[codec]
+    return [{"ok": False, "truncated": False, "over": False, "data": None, "consumed": 0} if v is None else f(v, limit) for v in (x.as_py() for x in col)]
+
+
 def decode(codec: str, content: Column, limit: int = LIMIT) -> Column:
     """Decode by a codec's name; null and failures have ok false."""
-    f = CODECS[codec]
 
-    @F.arrow_udf(RESULT)
+    @stepwise(RESULT)
     def run(col: pa.Array) -> pa.Array:
-        return pa.array([{"ok": False, "truncated": False, "over": False, "data": None, "consumed": 0} if v is None else f(v, limit) for v in col.to_pylist()], _ARROW)
+        return pa.array(decoded(codec, col, limit), _ARROW)
 
     return run(content)
 
@@ -72,7 +79,7 @@ def decode(codec: str, content: Column, limit: int = LIMIT) -> Column:
 def decode_by(codec: Column, content: Column, limit: int = LIMIT) -> Column:
     """Decode each value by the codec named in its row; an unknown name has ok false."""
 
-    @F.arrow_udf(RESULT)
+    @stepwise(RESULT)
     def run(names: pa.Array, col: pa.Array) -> pa.Array:
         out = []
         for name, v in zip(names.to_pylist(), col.to_pylist(), strict=True):
@@ -85,14 +92,18 @@ def decode_by(codec: Column, content: Column, limit: int = LIMIT) -> Column:
 
 def is_valid(codec: str, content: Column, window: int = 33 << 10) -> Column:
     """The first bytes decode, or break off for want of more; only that is tolerated."""
-    r = decode(codec, F.substring(content, F.lit(1), F.lit(window)))
-    return (r["ok"] | r["truncated"]) & (F.octet_length(r["data"]) > 0)
+
+    @stepwise(T.BooleanType(), stream=False)
+    def run(col: pa.Array) -> pa.Array:
+        return pa.array([bool((r["ok"] or r["truncated"]) and r["data"]) for r in decoded(codec, col)], pa.bool_())
+
+    return run(F.substring(content, F.lit(1), F.lit(window)))
 
 
 def first_of(codecs: list[str], content: Column, limit: int = LIMIT) -> Column:
     """struct(codec, r): the first codec of the chain that decodes each value, and its result; null if none does. Later codecs are not tried."""
 
-    @F.arrow_udf(T.StructType([T.StructField("codec", T.StringType()), T.StructField("r", RESULT)]))
+    @stepwise(T.StructType([T.StructField("codec", T.StringType()), T.StructField("r", RESULT)]))
     def run(col: pa.Array) -> pa.Array:
         out = []
         for v in col.to_pylist():
@@ -141,7 +152,7 @@ _FOUND = T.ArrayType(T.StructType([T.StructField("offset", T.LongType()), T.Stru
 def deflate_offsets(content: Column, window: int = 33 << 10, least: int = 64) -> Column:
     """Every offset where at least `least` bytes inflate without error (the costly scan; opt-in)."""
 
-    @F.arrow_udf(_FOUND)
+    @stepwise(_FOUND)
     def run(col: pa.Array) -> pa.Array:
         out = []
         for v in col.to_pylist():
@@ -163,7 +174,7 @@ def lzma_offsets(content: Column, full: bool = False, window: int = 64 << 10, le
     sizes = [1 << k for k in range(16, 26)] if full else [1 << 25]
     heads = [bytes([p]) + d.to_bytes(4, "little") + b"\xff" * 8 for p in props for d in sizes]
 
-    @F.arrow_udf(_FOUND)
+    @stepwise(_FOUND)
     def run(col: pa.Array) -> pa.Array:
         out = []
         for v in col.to_pylist():
@@ -194,7 +205,7 @@ _ENCODERS: dict[str, Callable[[bytes], bytes]] = {
 def encode_by(codec: Column, content: Column) -> Column:
     """Compress each value by the codec named in its row; null for an unknown name."""
 
-    @F.arrow_udf(T.BinaryType())
+    @stepwise(T.BinaryType(), stream=False)
     def run(names: pa.Array, col: pa.Array) -> pa.Array:
         return pa.array([_ENCODERS[n](v) if n in _ENCODERS and v is not None else None for n, v in zip(names.to_pylist(), col.to_pylist(), strict=True)], pa.binary())
 

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from octetlake.functions import checksums as cs
 from octetlake.functions import codecs, lens
+from octetlake.functions.batches import stepwise
 from octetlake.functions.layouts import encode_struct, size
 from octetlake.operators.image import join_parts
 
@@ -37,7 +38,11 @@ def _together(entries: DataFrame, part: Column, end: bytes) -> DataFrame:
 
 
 def _read(archives: DataFrame, places) -> DataFrame:
-    rows = archives.select("archive_id", "content", places(F.col("content")).alias("p"))
+    return _entries(archives.select("archive_id", "content", places(F.col("content")).alias("p")))
+
+
+def _entries(rows: DataFrame) -> DataFrame:
+    """The entries of rows (archive_id, content, p), p being their places."""
     cut = lambda at, n: F.substring(F.col("content"), (at + 1).cast("int"), n.cast("int"))
     name = lambda p: F.regexp_extract(lens.lens(cut(p["name_at"], p["name_size"])), r"(?s)^([^\x00]*)", 1)
     entry = lambda p: F.struct(p["header"].alias("offset"), F.decode(lens.unlens(name(p)), "UTF-8").alias("name"), p["kind"].alias("kind"), p["size"].alias("size"), cut(p["start"], p["size"]).alias("content"))
@@ -64,11 +69,10 @@ def _number(text: bytes) -> int | None:
     return int(text, 8) if text and not text.strip(b"01234567") else None if text else 0
 
 
-@F.arrow_udf(_PLACES)
-def tar_places(content: pa.Array) -> pa.Array:
-    """The headers of a tar archive, hop by hop, while they have the magic, a size and the right checksum."""
+def _tar_hops(content: pa.Array) -> pa.Array:
     out = []
-    for v in content.to_pylist():
+    for x in content:
+        v = x.as_py()
         at, found = 0, []
         while v and v[at + 257 : at + 262] == b"ustar":
             n, checksum = _number(v[at + 124 : at + 136]), _number(v[at + 148 : at + 156])
@@ -80,6 +84,20 @@ def tar_places(content: pa.Array) -> pa.Array:
     return pa.array(out, _ARROW)
 
 
+@stepwise(_PLACES)
+def tar_places(content: pa.Array) -> pa.Array:
+    """The headers of a tar archive, hop by hop, while they have the magic, a size and the right checksum."""
+    return _tar_hops(content)
+
+
+@stepwise(T.StructType([T.StructField("content", T.BinaryType()), T.StructField("p", _PLACES)]))
+def _unzipped_tar(content: pa.Array) -> pa.Array:
+    """What gzipped archives inflate to, with the places in it; null and none for what is no whole stream."""
+    plain = codecs.decoded("gzip", content)
+    data = pa.array([r["data"] if r["ok"] else None for r in plain], pa.binary())
+    return pa.StructArray.from_arrays([data, _tar_hops(data)], ["content", "p"])
+
+
 def read_tar(archives: DataFrame) -> DataFrame:
     """(archive_id, ord, offset, name, kind, size, content) of each entry of (archive_id, content); what is no tar has none."""
     return _read(archives, tar_places)
@@ -105,7 +123,7 @@ def build_cpio(entries: DataFrame) -> DataFrame:
     return _together(entries, entry, end + bytes(-len(end) % 4))
 
 
-@F.arrow_udf(_PLACES)
+@stepwise(_PLACES)
 def cpio_places(content: pa.Array) -> pa.Array:
     """The headers of a newc archive, hop by hop, up to its trailer."""
     out = []
@@ -143,11 +161,10 @@ def build_package(control: DataFrame, data: DataFrame) -> DataFrame:
 
 def read_package(packages: DataFrame) -> DataFrame:
     """(archive_id, part, ord, name, size, content): the entries of a package's control and data archives."""
-    unzip = lambda df: df.withColumn("content", codecs.decode("gzip", F.col("content"))).where("content.ok").withColumn("content", F.col("content.data"))
-    outer = read_tar(unzip(packages.select("archive_id", "content")))
+    opened = lambda df: _entries(df.select("archive_id", _unzipped_tar("content").alias("u")).select("archive_id", "u.content", "u.p"))
     part = F.regexp_extract("name", r"(control|data)\.tar\.gz$", 1)
-    inner = unzip(outer.withColumn("part", part).where("part <> ''").select(F.struct("archive_id", "part").alias("archive_id"), "content"))
-    return read_tar(inner).select("archive_id.archive_id", "archive_id.part", "ord", "name", "size", "content")
+    inner = opened(packages).withColumn("part", part).where("part <> ''").select(F.struct("archive_id", "part").alias("archive_id"), "content")
+    return opened(inner).select("archive_id.archive_id", "archive_id.part", "ord", "name", "size", "content")
 
 
 def control_fields(entries: DataFrame) -> DataFrame:
@@ -166,7 +183,7 @@ def build_wdk(entries: DataFrame) -> DataFrame:
     return j.select("archive_id", F.concat(F.lit(bytes(16)), lens.pack(F.octet_length("table") + 26, 2), F.lit(b"WDK 2.0\0"), "table", "data").alias("content"))
 
 
-@F.arrow_udf(_PLACES)
+@stepwise(_PLACES)
 def wdk_places(content: pa.Array) -> pa.Array:
     """The entries of a WDK 2.0 table; their contents follow one another from the data's beginning."""
     out = []

@@ -12,7 +12,7 @@ from octetlake.functions import codecs, lens
 from octetlake.functions.layouts import decode_struct, encode_struct
 from octetlake.operators import archives, extract, filesystems, image, packages, rules, scan, stats, vendors
 from octetlake.plans.catalog import _docs, _sql_bytes, _t, query
-from octetlake.plans.shared import checkpoint, spread
+from octetlake.plans.shared import checkpoint, spread, written
 from octetlake.sources.blobs import limited, text_blobs
 
 BIG = (1 << 31) - 1
@@ -427,7 +427,7 @@ def package_build_and_read(spark, d):
     data = _entries(spark, d)
     text = F.concat(F.lit("Package: pkg"), F.col("archive_id").cast("string"), F.lit("\nVersion: 1\n"))
     control = data.select("archive_id").distinct().select("archive_id", F.lit(0).alias("ord"), F.lit("./control").alias("name"), F.encode(text, "UTF-8").alias("content"))
-    got = archives.read_package(archives.build_package(control, data))
+    got = archives.read_package(written(archives.build_package(control, data)))  # read twice below
     fields = archives.control_fields(got).where("field = 'Package'").select(F.col("archive_id").alias("a"), F.col("value").alias("package"))
     j = got.join(fields, (F.col("archive_id") == F.col("a")) & (F.col("part") == "control"), "left")
     return j.select(F.col("archive_id").alias("conv_id"), "part", "name", F.col("size").cast("long").alias("size"), F.md5("content").alias("digest"), "package")

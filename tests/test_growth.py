@@ -7,8 +7,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from octetlake.functions import batches
 from octetlake.functions import checksums as cs
-from octetlake.operators import diff, packages, rules, scan, stats
+from octetlake.operators import archives, diff, packages, rules, scan, stats
 from octetlake.plans.shared import written
 
 
@@ -96,3 +97,28 @@ def test_scan_skips_steps_no_rule_asks_for(spark):
     assert "Join" not in plan and "Window" not in plan
     many = scan.scan(df, rules.parse("0 string MAGI Record {many}"))
     assert sorted((r.file_id, r.offset, r.display) for r in many.collect()) == [(1, 2, True), (1, 8, False)]
+
+
+def test_slices_hold_a_few_rows(spark):
+    """Slices of binary, text and nested columns are the rows in order, each of a bounded size or one row."""
+    a = pa.array([b"x" * (k * k % 50) for k in range(100)] + [b"y" * 5000, None, b""], pa.binary())
+    b = pa.array([[str(k)] * (k % 4) for k in range(len(a))], pa.list_(pa.string()))
+    parts = list(batches.slices((a, b), 600))
+    assert [v for x, _ in parts for v in x.to_pylist()] == a.to_pylist() and [v for _, y in parts for v in y.to_pylist()] == b.to_pylist()
+    assert all(len(x) == 1 or x.nbytes + y.nbytes <= 600 for x, y in parts) and len(parts) > 10
+    assert list(batches.slices((a[:0],), 600)) == [(a[:0],)]
+
+
+def _evaluations(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
+
+
+def test_package_is_unpacked_once_a_level(spark):
+    """Two levels, one worker each; every entry comes out, what is no package has none."""
+    e = spark.createDataFrame([(a, k, f"t{k}", bytes([k]) * a) for a in range(30) for k in range(a % 4 + 1)], "archive_id long, ord int, name string, content binary")
+    control = e.select("archive_id").distinct().select("archive_id", F.lit(0).alias("ord"), F.lit("./control").alias("name"), F.lit(b"Package: p").alias("content"))
+    made = written(archives.build_package(control, e)).unionByName(spark.createDataFrame([(98, b"none"), (99, None)], "archive_id long, content binary"))
+    got = archives.read_package(made.coalesce(1))
+    assert _evaluations(got) == 2
+    rows = {(r.archive_id, r.part, r.name): (r.ord, r.content) for r in got.collect()}
+    assert rows == {(a, "data", f"t{k}"): (k, bytes([k]) * a) for a in range(30) for k in range(a % 4 + 1)} | {(a, "control", "./control"): (0, b"Package: p") for a in range(30)}
