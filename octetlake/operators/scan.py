@@ -9,14 +9,17 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from octetlake.functions import lens
+from octetlake.functions.batches import stepwise
 from octetlake.functions.checksums import crc32_from_zero, crc32_raw
 from octetlake.operators.rules import Rule, by_family, compile_rule, default_rules, sample
 from octetlake.plans.shared import checkpoint
@@ -52,7 +55,7 @@ def _finder(rules: list[Rule]):
     shifts, free = [r.shift for r in rules], ["overlap" in r.tags for r in rules]
     built: list = []
 
-    @F.arrow_udf(_CANDIDATES)
+    @stepwise(_CANDIDATES)
     def find(content: pa.Array) -> pa.Array:
         if not built:
             a = ahocorasick.Automaton()
@@ -61,9 +64,9 @@ def _finder(rules: list[Rule]):
             if magics:
                 a.make_automaton()
             built.append(a)
-        out = []
-        for v in content.to_pylist():
-            hits: list[dict] = []
+        rule, offset, sizes = array("i"), array("q"), [0]  # numbers, not objects: a blob may have very many hits
+        for x in content:
+            v = x.as_py()
             ends: dict[int, int] = {}
             if v and magics:
                 for end, (n, ks) in built[0].iter(v.decode("latin-1")):
@@ -72,18 +75,24 @@ def _finder(rules: list[Rule]):
                         if free[k] or at >= ends.get(k, 0):
                             ends[k] = end + 1
                             if 0 <= at - shifts[k] < len(v):
-                                hits.append({"rule": k, "offset": at - shifts[k]})
+                                rule.append(k)
+                                offset.append(at - shifts[k])
             for k, rx in regexes if v else ():
-                hits += [{"rule": k, "offset": m.start() - shifts[k]} for m in rx.finditer(v) if m.start() >= shifts[k]]
-            out.append(hits)
-        return pa.array(out, pa.list_(pa.struct([("rule", pa.int32()), ("offset", pa.int64())])))
+                for m in rx.finditer(v):
+                    if m.start() >= shifts[k]:
+                        rule.append(k)
+                        offset.append(m.start() - shifts[k])
+            sizes.append(len(rule))
+        hits = pa.StructArray.from_arrays([pa.array(np.array(rule, np.int32)), pa.array(np.array(offset, np.int64))], ["rule", "offset"])
+        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), hits)
 
     return find
 
 
 def candidates(blobs: DataFrame, rules: list[Rule]) -> DataFrame:
     """(file_id, rule, offset): each place where a rule's magic stands."""
-    return blobs.select("file_id", F.explode(_finder(rules)(F.col("content"))).alias("c")).select("file_id", "c.rule", "c.offset")
+    found = blobs.select("file_id", _finder(rules)(F.col("content")).alias("found"))
+    return found.select("file_id", F.explode("found").alias("c")).select("file_id", "c.rule", "c.offset")
 
 
 def tested(blobs: DataFrame, rules: list[Rule], keep_invalid: bool = False, checks: dict | None = None) -> DataFrame:

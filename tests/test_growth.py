@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from octetlake.functions import batches
 from octetlake.functions import checksums as cs
-from octetlake.operators import archives, diff, packages, rules, scan, stats
+from octetlake.operators import archives, diff, extract, packages, rules, scan, stats
 from octetlake.plans.shared import written
 
 
@@ -122,3 +122,15 @@ def test_package_is_unpacked_once_a_level(spark):
     assert _evaluations(got) == 2
     rows = {(r.archive_id, r.part, r.name): (r.ord, r.content) for r in got.collect()}
     assert rows == {(a, "data", f"t{k}"): (k, bytes([k]) * a) for a in range(30) for k in range(a % 4 + 1)} | {(a, "control", "./control"): (0, b"Package: p") for a in range(30)}
+
+
+def test_blobs_are_searched_once(spark, monkeypatch):
+    """One search whatever is made of its hits, in slices, with blobs of many hits, none, and null between them."""
+    monkeypatch.setattr(batches, "SLICE", 1000)
+    blobs = [b"ab" * 700, None, b"", b"xab", b"b" * 3000, *[b"ab" * (k % 9) for k in range(300)]]
+    df = spark.createDataFrame(list(enumerate(blobs)), "file_id long, content binary").coalesce(1)
+    hits = scan.tested(df, rules.parse("0 string ab Pair\n0 regex b{3} Run"))
+    assert _evaluations(hits) == 1
+    want = [(k, i, "Pair") for k, v in enumerate(blobs) for i in range(len(v or b"")) if v[i : i + 2] == b"ab"] + [(4, i, "Run") for i in range(0, 3000, 3)]
+    assert sorted((r.file_id, r.offset, r.title) for r in hits.collect()) == sorted(want)
+    assert sorted(map(tuple, scan.candidates(df, rules.parse("0 string ab Pair")).collect())) == sorted((k, 0, i) for k, i, t in want if t == "Pair")
