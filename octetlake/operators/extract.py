@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from octetlake.functions import codecs
+from octetlake.functions.batches import stepwise
 from octetlake.functions.lens import byte_range
 from octetlake.operators.scan import rule_matches, scan
 from octetlake.plans.shared import checkpoint
@@ -97,9 +98,9 @@ def _attempts(limit: int):
                 spare = {"k": k, "status": "truncated", "data": r["data"]}
         return spare
 
-    @F.arrow_udf(_OUTCOME)
+    @stepwise(_OUTCOME)
     def run(names: pa.Array, content: pa.Array) -> pa.Array:
-        rows = [outcome(n or [], v or b"") for n, v in zip(names.to_pylist(), content.to_pylist(), strict=True)]
+        rows = [outcome(n.as_py() or [], v.as_py() or b"") for n, v in zip(names, content, strict=True)]
         return pa.array(rows, pa.struct([("k", pa.int32()), ("status", pa.string()), ("data", pa.binary())]))
 
     return run
