@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from octetlake.functions import codecs, lens
+from octetlake.functions.batches import stepwise
 from octetlake.operators.image import cramfs_crc, join_parts, place
 from octetlake.operators.packages import tree_paths
 
@@ -31,10 +32,10 @@ NODES = "array<struct<path string, kind string, mode int, uid bigint, gid bigint
 FILE = "struct<codec string, data binary>"
 
 
-def _inflated(column: Column, chain: tuple[str, ...]) -> Column:
-    """The blocks of a file, each by the first codec of the chain that decodes it, as one value; null if one fails."""
+def _inflated(column: Column, chain: Column) -> Column:
+    """The blocks of a file, each by the first codec of the chain (an array of names) that decodes it, as one value; null if one fails."""
 
-    def one(blocks: list[dict] | None) -> dict | None:
+    def one(blocks: list[dict] | None, chain: list[str]) -> dict | None:
         if blocks is None:
             return None
         out, used = [], None
@@ -48,20 +49,20 @@ def _inflated(column: Column, chain: tuple[str, ...]) -> Column:
             out.append(data[b["skip"] : b["skip"] + b["take"]])
         return {"codec": used, "data": b"".join(out)}
 
-    @F.arrow_udf(FILE)
-    def run(col: pa.Array) -> pa.Array:
-        return pa.array([one(v.as_py()) for v in col], pa.struct([("codec", pa.string()), ("data", pa.binary())]))
+    @stepwise(FILE)
+    def run(col: pa.Array, chains: pa.Array) -> pa.Array:
+        return pa.array([one(v.as_py(), c.as_py()) for v, c in zip(col, chains, strict=True)], pa.struct([("codec", pa.string()), ("data", pa.binary())]))
 
-    return run(column)
+    return run(column, chain)
 
 
-def _files(images: DataFrame, nodes: Column, chain: tuple[str, ...]) -> DataFrame:
-    """(image_id, path, kind, mode, uid, gid, size, packed_size, target, codec, content) of the nodes of images."""
+def _files(images: DataFrame, nodes: Column, chain: Column) -> DataFrame:
+    """(image_id, path, kind, mode, uid, gid, size, packed_size, target, codec, content) of the nodes of images, each with its chain of codecs."""
     cut = lambda b: F.struct(F.substring("content", (b["at"] + 1).cast("int"), b["n"].cast("int")).alias("bytes"), *[b[k].alias(k) for k in ("n", "packed", "full", "skip", "take")])
     node = lambda x: F.struct(*[x[k].alias(k) for k in ("path", "kind", "mode", "uid", "gid", "size", "target")], F.transform(x["blocks"], cut).alias("blocks"))
-    rows = images.select("image_id", "content", nodes.alias("nodes")).select("image_id", F.transform("nodes", node).alias("nodes"))
-    rows = rows.select("image_id", F.explode("nodes").alias("x")).select("image_id", "x.*")
-    rows = rows.withColumn("packed_size", F.aggregate("blocks", F.lit(0).cast("long"), lambda a, b: a + b["n"])).withColumn("f", _inflated(F.col("blocks"), chain))
+    rows = images.select("image_id", "content", chain.alias("chain"), nodes.alias("nodes")).select("image_id", "chain", F.transform("nodes", node).alias("nodes"))
+    rows = rows.select("image_id", "chain", F.explode("nodes").alias("x")).select("image_id", "chain", "x.*")
+    rows = rows.withColumn("packed_size", F.aggregate("blocks", F.lit(0).cast("long"), lambda a, b: a + b["n"])).withColumn("f", _inflated(F.col("blocks"), F.col("chain")))
     whole = F.when(F.octet_length("f.data") == F.col("size"), F.col("f.data"))
     return rows.select("image_id", "path", "kind", "mode", "uid", "gid", "size", "packed_size", "target", F.col("f.codec").alias("codec"), whole.alias("content"))
 
@@ -69,7 +70,7 @@ def _files(images: DataFrame, nodes: Column, chain: tuple[str, ...]) -> DataFram
 def _walked(walk: Callable[[bytes], Iterator[dict]], content: Column) -> Column:
     """The nodes of each image; a walk that breaks off keeps what it has found."""
 
-    @F.arrow_udf(NODES)
+    @stepwise(NODES)
     def run(col: pa.Array) -> pa.Array:
         out = []
         for image in col:
@@ -128,7 +129,7 @@ def _cramfs_walk(v: bytes) -> Iterator[dict]:
 
 def read_cramfs(images: DataFrame, chain: tuple[str, ...] = ("zlib", "lzma")) -> DataFrame:
     """The files of little-endian CramFS images, one row each; blocks by the first codec of the chain that fits. A link's content is its target."""
-    return _files(images, _walked(_cramfs_walk, F.col("content")), chain)
+    return _files(images, _walked(_cramfs_walk, F.col("content")), F.array(*map(F.lit, chain)))
 
 
 def check_cramfs(images: DataFrame) -> DataFrame:
@@ -140,7 +141,7 @@ def check_cramfs(images: DataFrame) -> DataFrame:
 def _pieces(content: Column, codec: str, size: int) -> Column:
     """The content in compressed pieces of a size, each with whether it was worth it."""
 
-    @F.arrow_udf("array<struct<bytes binary, packed boolean>>")
+    @stepwise("array<struct<bytes binary, packed boolean>>")
     def run(col: pa.Array) -> pa.Array:
         out = []
         for v in col:
@@ -206,7 +207,7 @@ def _cramfs_image(files: list[dict]) -> bytes | None:
 
 
 def _built(entries: DataFrame, codec: str, size: int, layout: Callable[[list[dict]], bytes | None]) -> DataFrame:
-    @F.arrow_udf(T.BinaryType())
+    @stepwise(T.BinaryType())
     def image(col: pa.Array) -> pa.Array:
         return pa.array([layout(v.as_py()) for v in col], pa.binary())
 
@@ -324,9 +325,9 @@ def _squashfs_walk(v: bytes) -> Iterator[dict]:
 
 def read_squashfs(images: DataFrame) -> DataFrame:
     """The nodes of little-endian SquashFS 4 images (zlib, LZMA or XZ), one row each but for the root; tails come from their fragments, holes are zeros."""
-    codec = lens.integer(F.col("content"), 20, 2, big=False)
-    rows = [_files(images.where(codec == k), _walked(_squashfs_walk, F.col("content")), (name,)) for k, name in SQUASH_CODECS.items()]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+    number = lens.integer(F.col("content"), 20, 2, big=False)
+    named = images.withColumn("codec", F.coalesce(*[F.when(number == k, name) for k, name in SQUASH_CODECS.items()])).where("codec is not null")
+    return _files(named, _walked(_squashfs_walk, F.col("content")), F.array("codec"))
 
 
 class _Meta:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from octetlake.functions import batches
 from octetlake.functions import checksums as cs
-from octetlake.operators import archives, diff, extract, packages, rules, scan, stats
+from octetlake.operators import archives, diff, filesystems, packages, rules, scan, stats
 from octetlake.plans.shared import written
 
 
@@ -134,3 +134,13 @@ def test_blobs_are_searched_once(spark, monkeypatch):
     want = [(k, i, "Pair") for k, v in enumerate(blobs) for i in range(len(v or b"")) if v[i : i + 2] == b"ab"] + [(4, i, "Run") for i in range(0, 3000, 3)]
     assert sorted((r.file_id, r.offset, r.title) for r in hits.collect()) == sorted(want)
     assert sorted(map(tuple, scan.candidates(df, rules.parse("0 string ab Pair")).collect())) == sorted((k, 0, i) for k, i, t in want if t == "Pair")
+
+
+def test_squashfs_images_are_built_and_walked_once(spark):
+    """Images of three codecs: pieces, image, walk and blocks are one worker each, whichever codec an image has."""
+    t = spark.createDataFrame([(i, f"d/{k}", bytes([65 + k]) * 700 * k) for i in range(6) for k in range(4)], "image_id long, path string, content binary")
+    for images, n in ((filesystems.build_squashfs(t, "xz", 1024), 4), (filesystems.build_squashfs(t, "zlib", 1024).unionByName(filesystems.build_squashfs(t.withColumn("image_id", F.col("image_id") + 6), "lzma", 1024)), 6)):
+        got = filesystems.read_squashfs(images)
+        assert _evaluations(got) == n
+        rows = {(r.image_id, r.path): r.content for r in got.where("kind = 'file'").collect()}
+        assert rows == {(i, f"d/{k}"): bytes([65 + k]) * 700 * k for i in range(6 if n == 4 else 12) for k in range(4)}
