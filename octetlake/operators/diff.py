@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from octetlake.functions.batches import stepwise
 
 _NAMES = np.array(["green", "blue", "red"])
 _DIGITS = np.array([*(f"{b:02X}" for b in range(256)), "XX"])  # the last one for -1
@@ -98,53 +99,85 @@ def basename_groups(files: DataFrame) -> DataFrame:
     return classes.join(kinds, F.col("base") == F.col("b")).select("base", "first_id", "digest", "members", "kinds")
 
 
-def _pieces(data: bytes, size: int) -> tuple[str, str]:
-    """Context-triggered pieces at a block size and twice that: one base-64 digit of a hash for each piece."""
-    digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-    b = np.frombuffer(data, dtype=np.uint8).astype(np.uint64)
-    if not len(b):
-        return "", ""
-    k = np.arange(7)
-    back = np.concatenate([np.zeros(6, np.uint64), b])
-    seen = np.lib.stride_tricks.sliding_window_view(back, 7)
-    roll = seen.sum(axis=1) + (seen * (k + 1).astype(np.uint64)).sum(axis=1) + (seen << (5 * (6 - k)).astype(np.uint64)).sum(axis=1)
-    roll &= np.uint64(0xFFFFFFFF)
-    out = []
-    for s in (size, 2 * size):
-        ends = np.flatnonzero(roll % np.uint64(s) == s - 1) + 1
-        cuts = [0, *ends[:63].tolist()]
-        if not len(cuts) or cuts[-1] < len(b):
-            cuts.append(len(b))
-        out.append("".join(digits[_fnv(data[x:y])] for x, y in zip(cuts, cuts[1:], strict=False)))
-    return out[0], out[1]
-
-
-def _fnv(piece: bytes) -> int:
-    """The low six bits of an FNV hash; each step only needs the low bits."""
-    h = 0x28021967
-    for x in piece:
-        h = ((h * 0x01000193) & 0xFFFFFFFF) ^ x
-    return h & 63
-
-
-@F.arrow_udf(T.StringType())
+_BASE64 = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", dtype=np.uint8)
+
+
+def _rolled(b: np.ndarray) -> np.ndarray:
+    """At each byte the low 32 bits of a hash of the seven bytes up to it (zeros before the first)."""
+    roll = np.zeros(len(b), np.uint32)
+    for k in range(min(7, len(b))):  # the byte k places before
+        x = b[: len(b) - k].astype(np.uint32)
+        roll[k:] += x * np.uint32(8 - k) + (x << np.uint32(5 * k))
+    return roll
+
+
+def _fnv(b: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The low six bits of an FNV hash of each piece of b that begins at starts.
+
+    A step is h * p ^ x, of which a bit follows from the bit before it, the byte's, and lower bits of h alone. So bit by bit
+    the steps of all pieces are one running XOR.
+    """
+    p, first = 0x01000193 & 63, 0x28021967 & 63
+    before, length = np.zeros(len(b), np.uint8), np.diff([*starts, len(b)])
+    last, out = starts + length - 1, np.zeros(len(starts), np.uint8)
+    for k in range(6):
+        low = before & np.uint8((1 << k) - 1)
+        run = np.bitwise_xor.accumulate(((low * np.uint8(p)) ^ b) >> np.uint8(k) & np.uint8(1))
+        # a piece begins with the first value's bit instead of what has run before it
+        own = np.where(starts > 0, run[starts - 1], 0).astype(np.uint8) ^ np.uint8(first >> k & 1)
+        out |= (run[last] ^ own) << np.uint8(k)
+        if k < 5:
+            bit = np.empty_like(run)
+            bit[1:] = run[:-1] ^ np.repeat(own, length)[1:]
+            bit[starts] = first >> k & 1
+            before |= bit << np.uint8(k)
+    return out
+
+
+def _starts(roll: np.ndarray, size: int) -> np.ndarray:
+    """Where the context-triggered pieces of a file begin at a block size: at most 64, the last one up to the end."""
+    starts = np.concatenate([[0], np.flatnonzero(roll % np.uint32(size) == size - 1)[:63] + 1])
+    return starts[starts < len(roll)]
+
+
+@stepwise(T.StringType(), stream=False)
 def fuzzy_hash(content: pa.Array) -> pa.Array:
-    """A context-triggered piecewise hash 'blocksize:pieces:pieces at twice that'; null for null."""
-    out = []
-    for v in content.to_pylist():
-        if v is None:
-            out.append(None)
-            continue
-        size = 3
-        while size * 64 < len(v):
+    """A context-triggered piecewise hash 'blocksize:pieces:pieces at twice that'; null for null. There is one base-64 digit for each piece."""
+    files = [x.as_py() for x in content]
+    data = np.frombuffer(b"".join(v or b"" for v in files), dtype=np.uint8)
+    rolled = _rolled(np.frombuffer(b"".join(bytes(6) + (v or b"") for v in files), dtype=np.uint8))  # the zeros before each first byte
+    at, sizes, cuts = 0, [], ([], [])
+    for k, v in enumerate(files):
+        n, size = len(v or b""), 3
+        while size * 64 < n:
             size *= 2
-        while True:
-            a, b = _pieces(v, size)
-            if len(a) >= 32 or size <= 3:
-                break
+        roll = rolled[at + 6 * (k + 1) :][:n]
+        once, twice = _starts(roll, size), _starts(roll, 2 * size)
+        while len(once) < 32 and size > 3:
             size //= 2
-        out.append(f"{size}:{a}:{b}")
-    return pa.array(out, pa.string())
+            once, twice = _starts(roll, size), once
+        sizes.append(size)
+        for c, starts in zip(cuts, (once, twice), strict=True):
+            c.append(starts + at)
+        at += n
+    shown = []
+    for c in cuts:
+        digits = _BASE64[_fnv(data, np.concatenate(c))].tobytes().decode() if len(data) else ""
+        ends = np.cumsum([len(x) for x in c]).tolist()
+        shown.append([digits[x:y] for x, y in zip([0, *ends], ends, strict=False)])
+    return pa.array([None if v is None else f"{size}:{a}:{b}" for v, size, a, b in zip(files, sizes, *shown, strict=True)], pa.string())
+
+
+def _common(x: str, y: str) -> int:
+    """The length of the longest common subsequence; a bit for each place of x, zero where it grows."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(x):
+        places[c] = places.get(c, 0) | 1 << i
+    whole = row = (1 << len(x)) - 1
+    for c in y:
+        hit = row & places.get(c, 0)
+        row = (row + hit | row - hit) & whole
+    return len(x) - row.bit_count()
 
 
 def _similarity(a: str, b: str) -> int:
@@ -158,16 +191,12 @@ def _similarity(a: str, b: str) -> int:
         grams = {x[i : i + 7] for i in range(len(x) - 6)}
         if not any(y[i : i + 7] in grams for i in range(len(y) - 6)):
             continue
-        row = list(range(len(y) + 1))
-        for i, c in enumerate(x, 1):
-            before, row[0] = row[0], i
-            for j, d in enumerate(y, 1):
-                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + 2 * (c != d))
-        best = max(best, 100 - 100 * row[-1] // (len(x) + len(y)))
+        # a change costs 2, as much as taking out and putting in, so the distance is what the longest common subsequence leaves
+        best = max(best, 100 - 100 * (len(x) + len(y) - 2 * _common(x, y)) // (len(x) + len(y)))
     return best
 
 
-@F.arrow_udf(T.IntegerType())
+@stepwise(T.IntegerType())
 def similarity(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([None if x is None or y is None else _similarity(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.int32())
 

@@ -144,3 +144,45 @@ def test_squashfs_images_are_built_and_walked_once(spark):
         assert _evaluations(got) == n
         rows = {(r.image_id, r.path): r.content for r in got.where("kind = 'file'").collect()}
         assert rows == {(i, f"d/{k}"): bytes([65 + k]) * 700 * k for i in range(6 if n == 4 else 12) for k in range(4)}
+
+
+def test_fuzzy_hashes_step_by_step(spark):
+    """Hashes of files taken together against one byte after the other, and scores against a table of edits."""
+    rng = np.random.default_rng(3)
+    files = [None, b"", b"a", bytes(3000), *[rng.integers(0, 256, int(n), dtype=np.uint8).tobytes() for n in (1, 6, 7, 8, 200, 193, 5000)], *[b"the quick brown fox %d " % k * k for k in range(40)]]
+    digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+    def pieces(v: bytes, size: int) -> str:
+        out, h, cuts = "", 0x28021967, 0
+        for i, x in enumerate(v):
+            h = ((h * 0x01000193) & 0xFFFFFFFF) ^ x
+            last = [v[i - k] if i >= k else 0 for k in range(7)]
+            roll = sum(c * (8 - k) + (c << 5 * k) for k, c in enumerate(last)) & 0xFFFFFFFF
+            if roll % size == size - 1 and cuts < 63 or i == len(v) - 1:
+                out, h, cuts = out + digits[h & 63], 0x28021967, cuts + 1
+        return out
+
+    def plain(v: bytes | None) -> str | None:
+        if v is None:
+            return None
+        size = 3
+        while size * 64 < len(v):
+            size *= 2
+        while size > 3 and len(pieces(v, size)) < 32:
+            size //= 2
+        return f"{size}:{pieces(v, size)}:{pieces(v, 2 * size)}"
+
+    df = spark.createDataFrame(list(enumerate(files)), "k int, c binary").coalesce(1)
+    got = {r.k: r.h for r in df.select("k", diff.fuzzy_hash("c").alias("h")).collect()}
+    assert got == {k: plain(v) for k, v in enumerate(files)}
+
+    def common(x: str, y: str) -> int:
+        row = [0] * (len(y) + 1)
+        for c in x:
+            before = 0
+            for j, d in enumerate(y, 1):
+                before, row[j] = row[j], before + 1 if c == d else max(row[j], row[j - 1])
+        return row[-1]
+
+    words = ["".join(rng.choice(list("ABCx"), int(n))) for n in rng.integers(0, 64, 60)]
+    assert all(diff._common(x, y) == common(x, y) for x in words for y in words[:9])
