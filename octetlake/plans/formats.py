@@ -236,7 +236,7 @@ def vendor_round_trip(spark, d):
     """Every vendor format: seal, then read and verify the image as it is and with its last byte turned."""
     t = _talks(spark, d).where(F.octet_length("content") > 0).withColumnRenamed("content", "payload")
     sealed = [vendors.seal(t, name).select(F.lit(name).alias("format"), "conv_id", "turn", "content") for name in vendors.FORMATS]
-    whole = checkpoint(reduce(DataFrame.unionByName, sealed))
+    whole = written(reduce(DataFrame.unionByName, sealed), "format")  # each format reads its own images below
     last = F.octet_length("content")
     turned = F.concat(F.substring(F.col("content"), F.lit(1), last - 1), lens.pack(255 - lens.integer(F.col("content"), last - 1, 1), 1))
     both = whole.unionByName(whole.withColumn("content", turned).withColumn("broken", F.lit(True)), allowMissingColumns=True).withColumn("broken", F.coalesce("broken", F.lit(False)))

@@ -186,3 +186,12 @@ def test_fuzzy_hashes_step_by_step(spark):
 
     words = ["".join(rng.choice(list("ABCx"), int(n))) for n in rng.integers(0, 64, 60)]
     assert all(diff._common(x, y) == common(x, y) for x in words for y in words[:9])
+
+
+def test_written_by_a_column_is_read_by_it(spark):
+    """What is written by a column comes back whole, and a reader of one of its values takes only that folder."""
+    df = spark.range(40).select(F.concat(F.lit("f"), F.col("id") % 4).alias("format"), "id")
+    back = written(df, "format")
+    assert sorted(back.select("format", "id").collect()) == sorted(df.collect()) and sorted(written(df).collect()) == sorted(df.collect())
+    one = back.where(F.col("format") == "f2")
+    assert "PartitionFilters: [isnotnull(format" in one._jdf.queryExecution().executedPlan().toString() and one.count() == 10
