@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from octetlake.functions.batches import stepwise
 
 LIMIT = 64 << 20
+_BROKEN = (zlib.error, lzma.LZMAError, OSError, EOFError, ValueError)
 RESULT = T.StructType([T.StructField("ok", T.BooleanType()), T.StructField("truncated", T.BooleanType()), T.StructField("over", T.BooleanType()), T.StructField("data", T.BinaryType()), T.StructField("consumed", T.LongType())])
 _ARROW = pa.struct([("ok", pa.bool_()), ("truncated", pa.bool_()), ("over", pa.bool_()), ("data", pa.binary()), ("consumed", pa.int64())])
 
@@ -28,7 +29,7 @@ def _stream(decoder, data: bytes, limit: int) -> dict:
     out, fail = b"", False
     try:
         out = decoder.decompress(data, limit)
-    except (zlib.error, lzma.LZMAError, OSError, EOFError, ValueError):
+    except _BROKEN:
         fail = True
     eof = decoder.eof
     rest = getattr(decoder, "unused_data", b"") or b""
@@ -90,14 +91,43 @@ def decode_by(codec: Column, content: Column, limit: int = LIMIT) -> Column:
     return run(codec, content)
 
 
-def is_valid(codec: str, content: Column, window: int = 33 << 10) -> Column:
-    """The first bytes decode, or break off for want of more; only that is tolerated."""
+_DECODERS: dict[str, Callable[[], object]] = {
+    "gzip": lambda: zlib.decompressobj(31), "zlib": lambda: zlib.decompressobj(15), "deflate": lambda: zlib.decompressobj(-15), "xz": lambda: lzma.LZMADecompressor(lzma.FORMAT_XZ),
+    "lzma": lambda: lzma.LZMADecompressor(lzma.FORMAT_ALONE), "bzip2": lambda: bz2.BZ2Decompressor(),
+}
+
+
+def _pieces(codec: str, data: bytes, size: int) -> Iterator[bytes]:
+    """What data inflate to, in pieces of at most `size` bytes, until the stream ends or wants more; an error is raised behind what came before it."""
+    if codec == "lzma_modem":
+        codec, data = "lzma", data[:5] + b"\xff" * 8 + data[5:]
+    decoder = _DECODERS[codec]()
+    while not decoder.eof:
+        out = decoder.decompress(data, size)
+        data = getattr(decoder, "unconsumed_tail", b"")
+        if out:
+            yield out
+        elif not data and getattr(decoder, "needs_input", True):
+            return
+
+
+def is_valid(codec: str, content: Column, window: int | None = 33 << 10) -> Column:
+    """The first bytes decode, or break off for want of more; only that is tolerated. What they decode to is not kept, however much it is.
+
+    Without window the content is taken as it is: where encode_by has cut it, both then run in one worker.
+    """
+
+    def begins(v: bytes) -> bool:
+        try:
+            return sum(map(len, _pieces(codec, v, 64 << 10))) > 0
+        except _BROKEN:
+            return False
 
     @stepwise(T.BooleanType(), stream=False)
     def run(col: pa.Array) -> pa.Array:
-        return pa.array([bool((r["ok"] or r["truncated"]) and r["data"]) for r in decoded(codec, col)], pa.bool_())
+        return pa.array([v is not None and begins(v) for v in (x.as_py() for x in col)], pa.bool_())
 
-    return run(F.substring(content, F.lit(1), F.lit(window)))
+    return run(content if window is None else F.substring(content, F.lit(1), F.lit(window)))
 
 
 def first_of(codecs: list[str], content: Column, limit: int = LIMIT) -> Column:
@@ -114,12 +144,6 @@ def first_of(codecs: list[str], content: Column, limit: int = LIMIT) -> Column:
     return run(content)
 
 
-_DECODERS: dict[str, Callable[[], object]] = {
-    "gzip": lambda: zlib.decompressobj(31), "zlib": lambda: zlib.decompressobj(15), "deflate": lambda: zlib.decompressobj(-15), "xz": lambda: lzma.LZMADecompressor(lzma.FORMAT_XZ),
-    "lzma": lambda: lzma.LZMADecompressor(lzma.FORMAT_ALONE), "bzip2": lambda: bz2.BZ2Decompressor(),
-}
-
-
 def parts(blobs: DataFrame, codec: str, size: int = 16 << 20) -> DataFrame:
     """(file_id, part, data): what (file_id, content) inflates to, in parts of `size` bytes, however much it is.
 
@@ -129,18 +153,11 @@ def parts(blobs: DataFrame, codec: str, size: int = 16 << 20) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for id_, v in zip(b.column("file_id"), b.column("content").to_pylist(), strict=True):
-                decoder, rest, k = _DECODERS[codec](), v, 0
-                while rest is not None and not decoder.eof:
-                    try:
-                        data = decoder.decompress(rest, size)
-                    except (zlib.error, lzma.LZMAError, OSError, EOFError, ValueError):
-                        break
-                    rest = getattr(decoder, "unconsumed_tail", b"")
-                    if data:
+                try:
+                    for k, data in enumerate(_pieces(codec, v, size) if v is not None else ()):
                         yield pa.RecordBatch.from_arrays([pa.array([id_.as_py()], b.column("file_id").type), pa.array([k], pa.int32()), pa.array([data], pa.binary())], ["file_id", "part", "data"])
-                        k += 1
-                    elif not rest and getattr(decoder, "needs_input", True):
-                        break
+                except _BROKEN:
+                    continue
 
     kind = blobs.schema["file_id"].dataType.simpleString()
     return blobs.select("file_id", "content").mapInArrow(run, f"file_id {kind}, part int, data binary")
@@ -192,21 +209,27 @@ def lzma_offsets(content: Column, full: bool = False, window: int = 64 << 10, le
     return run(content)
 
 
+def _lzma(data: bytes, form: int, filter_id: int) -> bytes:
+    """Preset 1 with a dictionary no larger than the data ask for: the encoder's tables, many MB else, are made anew for each value."""
+    size = min(1 << 20, max(1 << 16, 1 << (len(data) - 1).bit_length()))
+    return lzma.compress(data, form, filters=[{"id": filter_id, "preset": 1, "dict_size": size}])
+
+
 _ENCODERS: dict[str, Callable[[bytes], bytes]] = {
     "gzip": lambda d: (lambda c: c.compress(d) + c.flush())(zlib.compressobj(6, zlib.DEFLATED, 31)),
     "zlib": lambda d: zlib.compress(d),
     "deflate": lambda d: (lambda c: c.compress(d) + c.flush())(zlib.compressobj(6, zlib.DEFLATED, -15)),
-    "xz": lambda d: lzma.compress(d, lzma.FORMAT_XZ, preset=1),
-    "lzma": lambda d: lzma.compress(d, lzma.FORMAT_ALONE, preset=1),
+    "xz": lambda d: _lzma(d, lzma.FORMAT_XZ, lzma.FILTER_LZMA2),
+    "lzma": lambda d: _lzma(d, lzma.FORMAT_ALONE, lzma.FILTER_LZMA1),
     "bzip2": lambda d: bz2.compress(d),
 }
 
 
-def encode_by(codec: Column, content: Column) -> Column:
-    """Compress each value by the codec named in its row; null for an unknown name."""
+def encode_by(codec: Column, content: Column, first: int | None = None) -> Column:
+    """Compress each value by the codec named in its row; null for an unknown name. With `first`, so many bytes of each are kept."""
 
     @stepwise(T.BinaryType(), stream=False)
     def run(names: pa.Array, col: pa.Array) -> pa.Array:
-        return pa.array([_ENCODERS[n](v) if n in _ENCODERS and v is not None else None for n, v in zip(names.to_pylist(), col.to_pylist(), strict=True)], pa.binary())
+        return pa.array([_ENCODERS[n](v)[:first] if n in _ENCODERS and v is not None else None for n, v in zip(names.to_pylist(), col.to_pylist(), strict=True)], pa.binary())
 
     return run(codec, content)

@@ -222,8 +222,8 @@ def stream_validators(spark, d):
     """The first bytes of a stream tell whether it is one."""
     t = _talks(spark, d).where(F.octet_length("content") > 0)
     kinds = ("gzip", "zlib", "lzma")
-    packed = t.select("conv_id", "turn", "content", *[codecs.encode_by(F.lit(k), F.col("content")).alias(k) for k in kinds])
-    return packed.select("conv_id", "turn", *[codecs.is_valid(k, F.col(k), 200).alias(k) for k in kinds], codecs.is_valid("gzip", F.concat(F.lit(b"\x1f\x8b\x08"), F.col("content"))).alias("other"))
+    packed = t.select("conv_id", "turn", "content", *[codecs.encode_by(F.lit(k), F.col("content"), 200).alias(k) for k in kinds])
+    return packed.select("conv_id", "turn", *[codecs.is_valid(k, F.col(k), None).alias(k) for k in kinds], codecs.is_valid("gzip", F.concat(F.lit(b"\x1f\x8b\x08"), F.col("content"))).alias("other"))
 
 
 # --- images --------------------------------------------------------------------------------------------------------------

@@ -1,15 +1,20 @@
 """What a larger table costs: plans that do not grow with a loop, arrays instead of Python objects, the same results as plain code."""
 
+import bz2
+import lzma
 import math
+import tracemalloc
+import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from octetlake.functions import batches
+from octetlake.functions import batches, codecs
 from octetlake.functions import checksums as cs
 from octetlake.operators import archives, diff, filesystems, packages, rules, scan, stats
+from octetlake.plans import formats
 from octetlake.plans.shared import written
 
 
@@ -136,6 +141,38 @@ def test_blobs_are_searched_once(spark, monkeypatch):
     assert sorted(map(tuple, scan.candidates(df, rules.parse("0 string ab Pair")).collect())) == sorted((k, 0, i) for k, i, t in want if t == "Pair")
 
 
+def test_streams_are_judged_by_pieces(spark, sf_dir):
+    """Encoders and validators share one worker; a window is judged as if decoded at once, but what comes out is not kept, nor limited."""
+    assert _evaluations(formats.stream_validators(spark, sf_dir)) == 1
+    plain = bytes(range(256)) * 900
+    for codec in codecs.CODECS:
+        whole = codecs._ENCODERS[codec.removesuffix("_modem")](plain)
+        whole = whole[:5] + whole[13:] if codec == "lzma_modem" else whole
+        rows = [None, b"", plain, whole, whole + b"rest", *[whole[:k] for k in (1, 12, 13, 40, 300, len(whole) - 3)], whole[:60] + b"\xff" * 9 + whole[69:], whole[:-7] + bytes(7)]
+        df = spark.createDataFrame(list(enumerate(rows)), "k int, c binary").coalesce(1)
+        once = [v is not None and bool(((r := codecs.CODECS[codec](v, codecs.LIMIT))["ok"] or r["truncated"]) and r["data"]) for v in rows]
+        got = {r.k: (r.a, r.b) for r in df.select("k", codecs.is_valid(codec, F.col("c"), 1 << 20).alias("a"), codecs.is_valid(codec, F.col("c"), None).alias("b")).collect()}
+        assert [got[k] for k in range(len(rows))] == [(v, v) for v in once] and {True, False} == set(once)
+    beyond = spark.createDataFrame([("xz", lzma.compress(bytes(codecs.LIMIT + 9))), ("bzip2", bz2.compress(bytes(codecs.LIMIT + 9)))], "k string, c binary")
+    assert all(len(r.c) < 33 << 10 for r in beyond.collect())
+    assert all(beyond.where(F.col("k") == k).select(codecs.is_valid(k, F.col("c")).alias("v")).first().v for k in ("xz", "bzip2"))
+    packed = zlib.compress(bytes(20 << 20))
+    tracemalloc.start()
+    assert sum(map(len, codecs._pieces("zlib", packed, 64 << 10))) == 20 << 20 and tracemalloc.get_traced_memory()[1] < 1 << 20
+    tracemalloc.stop()
+
+
+def test_dictionaries_fit_the_data(spark):
+    """LZMA's tables are made for what a value needs, at least 64 KB and at most preset 1's; heads of streams are those of whole ones."""
+    for n, size in ((0, 1 << 16), (1, 1 << 16), (1 << 16, 1 << 16), ((1 << 16) + 1, 1 << 17), (3 << 20, 1 << 20)):
+        data = (bytes(range(251)) * (n // 251 + 1))[:n]
+        coded = codecs._ENCODERS["lzma"](data)
+        assert int.from_bytes(coded[1:5], "little") == size and lzma.decompress(coded) == lzma.decompress(codecs._ENCODERS["xz"](data)) == data
+    df = spark.createDataFrame([(k, bytes([k]) * 5000 + b"text") for k in range(9)], "k int, c binary")
+    for name in codecs._ENCODERS:
+        assert all(r.h == r.w[:20] for r in df.select(codecs.encode_by(F.lit(name), F.col("c"), 20).alias("h"), codecs.encode_by(F.lit(name), F.col("c")).alias("w")).collect())
+
+
 def test_squashfs_images_are_built_and_walked_once(spark):
     """Images of three codecs: pieces, image, walk and blocks are one worker each, whichever codec an image has."""
     t = spark.createDataFrame([(i, f"d/{k}", bytes([65 + k]) * 700 * k) for i in range(6) for k in range(4)], "image_id long, path string, content binary")
