@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,62 +15,107 @@ _NAMES = np.array(["green", "blue", "red"])
 _DIGITS = np.array([*(f"{b:02X}" for b in range(256)), "XX"])  # the last one for -1
 _LINE = [T.StructField("line_class", T.StringType()), *[T.StructField(f"n_{k}", T.LongType()) for k in ("green", "blue", "red")]]
 _CELL = T.ArrayType(T.StructType([T.StructField("bytes", T.StringType()), T.StructField("kind", T.StringType())]))
-_AT_ONCE = 256  # lines of a group that are compared together
-
-
-def _compared(files: list[bytes | None], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of each file (-1 where it has ended), and each place's class: 0 green: all equal; 2 red: all distinct (a missing
-    byte is a value of its own); 1 blue: some; -1 beyond the longest file. One file is all red."""
-    longest = max(len(f or b"") for f in files)
-    m = np.full((len(files), -(-longest // width) * width), -1, dtype=np.int16)
-    for k, f in enumerate(files):
-        m[k, : len(f or b"")] = np.frombuffer(f or b"", dtype=np.uint8)
-    s = np.sort(m, axis=0)
-    kinds = (s[0] >= 0).astype(np.int64) + ((s[1:] != s[:-1]) & (s[1:] >= 0)).sum(axis=0) + (s < 0).sum(axis=0)
-    code = np.where(kinds == len(files), 2, np.where(kinds == 1, 0, 1))
-    code[longest:] = -1
-    return m, code
+_AT_ONCE = 256  # lines of three files that are compared together; fewer of more files
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, one range after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+def _codes(data: np.ndarray, size: np.ndarray, many: np.ndarray, files: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each place of all rows, and the lines of each row. A row has `many` slices of data, of the given sizes, out of
+    its number of files. 0 green: all equal; 2 red: all distinct (a missing byte is a value of its own); 1 blue: some; -1 beyond
+    the longest slice. One file is all red."""
+    begun, starts = np.cumsum(many) - many, np.cumsum(size) - size
+    longest = np.maximum.reduceat(size, begun) if len(size) else size
+    places = -(-longest // width) * width
+    at, row = np.cumsum(places) - places, np.repeat(np.arange(len(many)), many)
+    code = np.empty(places.sum(), np.int8)
+    for k in np.unique(many):  # rows of as many slices side by side
+        own, mine = many == k, many[row] == k
+        n = places[own].sum()
+        m = np.full(k * n, -1, np.int16)
+        to = np.repeat(np.cumsum(places[own]) - places[own], k) + np.tile(np.arange(k) * n, own.sum())
+        m[_ranges(to, size[mine])] = data[_ranges(starts[mine], size[mine])]
+        s = np.sort(m.reshape(k, n), axis=0)
+        present, all_of = (s >= 0).sum(axis=0), np.repeat(files[own], places[own])
+        kinds = (s[0] >= 0) + ((s[1:] != s[:-1]) & (s[1:] >= 0)).sum(axis=0) + all_of - present
+        found = np.where(kinds == all_of, 2, np.where(kinds == 1, 0, 1))
+        code[_ranges(at[own], places[own])] = np.where(present > 0, found, -1)
+    return code, places // width
+
+
+def _cells(slices: pa.Array, files: np.ndarray, at: pa.Array, code: np.ndarray, lines: np.ndarray, width: int) -> pa.Array:
+    """For each line an array of its cells; `at` has the place of each slice among the files of its group."""
+    shown, first = [], 0
+    for row, where, n, k in zip(slices, at, files, lines, strict=True):
+        m = np.full((n, k * width), -1, np.int16)
+        for i, v in zip(where.as_py(), row.as_py(), strict=True):
+            m[i, : len(v)] = np.frombuffer(v, np.uint8)
+        shown += [" ".join(x) for x in _DIGITS[m.T[code[first : first + k * width] >= 0]]]
+        first += k * width
+    there = code >= 0
+    ends = np.cumsum([0, *there.reshape(-1, width).sum(axis=1)]).astype(np.int32)
+    cells = pa.StructArray.from_arrays([pa.array(shown, pa.string()), _named(code[there])], ["bytes", "kind"])
+    return pa.ListArray.from_arrays(pa.array(ends), cells)
+
+
+def _named(code: np.ndarray) -> pa.Array:
+    return pa.array(_NAMES).take(pa.array(code))
 
 
 def _lines(width: int, cells: bool):
-    @F.arrow_udf(T.ArrayType(T.StructType(_LINE + [T.StructField("cells", _CELL)] * cells)))
-    def run(col: pa.Array) -> pa.Array:
-        sizes, counts, shown = [0], [np.zeros((0, 3), np.int64)], []
-        for row in col:
-            m, code = _compared(row.as_py(), width)
-            by_line = code.reshape(-1, width)
-            counts.append(np.stack([(by_line == k).sum(axis=1) for k in range(3)], axis=1))
-            sizes.append(len(by_line))
-            if cells:
-                bytes_, kind = [" ".join(x) for x in _DIGITS[m.T]], _NAMES[code]
-                shown += [[{"bytes": bytes_[i], "kind": kind[i]} for i in range(at, min(at + width, len(code))) if code[i] >= 0] for at in range(0, len(code), width)]
-        n = np.concatenate(counts)
-        name = pa.array(_NAMES[np.where(n[:, 2] > 0, 2, np.where(n[:, 1] > 0, 1, 0))].astype(object), pa.string())
-        columns = [name, *[pa.array(n[:, k].copy(), pa.int64()) for k in range(3)]]
+    @stepwise(T.ArrayType(T.StructType(_LINE + [T.StructField("cells", _CELL)] * cells)))
+    def run(slices: pa.Array, files: pa.Array, *at: pa.Array) -> pa.Array:
+        many, parts = slices.value_lengths().to_numpy().astype(np.int64), slices.flatten()
+        size, n = pc.binary_length(parts).to_numpy().astype(np.int64), files.to_numpy()
+        code, lines = _codes(np.frombuffer(b"".join(parts.to_pylist()), np.uint8), size, many, n, width)
+        by_line = code.reshape(-1, width)
+        n_of = [(by_line == k).sum(axis=1) for k in range(3)]
+        columns = [_named(np.where(n_of[2] > 0, 2, np.where(n_of[1] > 0, 1, 0))), *map(pa.array, n_of)]
         if cells:
-            columns.append(pa.array(shown, pa.list_(pa.struct([("bytes", pa.string()), ("kind", pa.string())]))))
+            columns.append(_cells(slices, n, at[0], code, lines, width))
         fields = [f.name for f in _LINE] + ["cells"] * cells
-        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), pa.StructArray.from_arrays(columns, fields))
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *lines]).astype(np.int32)), pa.StructArray.from_arrays(columns, fields))
 
     return run
 
 
+def _cut(content: Column, size: Column) -> Column:
+    """Slices of a binary column with their offsets; one empty slice of an empty or null one, since a sequence to -1 is an error
+    that no filter before it keeps off: the planner may evaluate it first."""
+    n = F.coalesce(F.octet_length(content), F.lit(0))
+    part = lambda at: F.struct(at.alias("offset"), F.coalesce(F.substring(content, at + 1, size), F.lit(b"")).alias("h"))
+    return F.explode_outer(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), size), part))  # outer: no filter repeats it
+
+
 def hex_diff(files: DataFrame, width: int = 16, cells: bool = True) -> DataFrame:
     """(group_id, offset, cells, line_class, n_green, n_blue, n_red): rows of `width` bytes of the files (group_id, ord, content) of each group.
 
     cells are struct(hex digits of each file, 'XX' where it has ended; class); without them only the classes and numbers of
     cells are made. A row is green if all its cells are, red if any is red, else blue. Slices of the files meet by group
-    and offset, so no file is exploded to bytes or lines; the lines of slices that met are compared as arrays.
+    and offset, so no file is exploded to bytes or lines; the lines of slices that met are compared as arrays. Rows of equal
+    ord are files of their own, those without a group are left out. Slices are shorter in groups of many files.
     """
-    n, step = F.octet_length("content"), width * _AT_ONCE
+    order = [(-F.coalesce(F.octet_length("content"), F.lit(0))).alias("less"), F.xxhash64("content").alias("digest")] if cells else []
     # slices are cut beside the file and then made rows, so that no row carries the whole file
-    part = lambda at: F.struct(at.alias("offset"), F.substring(F.col("content"), at + 1, F.lit(step)).alias("h"))
-    rows = files.where(n > 0).select("group_id", "ord", F.transform(F.sequence(F.lit(0), n - 1, F.lit(step)), part).alias("parts"))
-    rows = rows.select("group_id", "ord", F.explode("parts").alias("p")).select("group_id", "ord", "p.*")
-    members = files.groupBy("group_id").agg(F.array_sort(F.collect_list("ord")).alias("ords"))
-    met = rows.groupBy("group_id", "offset").agg(F.map_from_entries(F.collect_list(F.struct("ord", "h"))).alias("by")).join(members, "group_id")
-    met = met.select("group_id", "offset", F.transform("ords", lambda o: F.try_element_at("by", o)).alias("slices"))
-    lines = met.select("group_id", F.col("offset").alias("start"), F.posexplode(_lines(width, cells)(F.col("slices"))).alias("k", "l"))
+    rows = files.select("group_id", "ord", *order, _cut(F.col("content"), F.lit(width * _AT_ONCE)).alias("p")).select("*", "p.*").drop("p")
+    # both sides are dealt by group, and stay so
+    rows = rows.join(files.groupBy("group_id").agg(F.count(F.lit(1)).alias("files")), "group_id")
+    again = _cut(F.col("h"), F.greatest(F.lit(1), F.least(F.lit(_AT_ONCE), F.floor(F.lit(3 * _AT_ONCE) / F.col("files")))).cast("int") * width)
+    rows = rows.withColumnRenamed("offset", "start").withColumn("p", again).withColumn("offset", F.col("start") + F.col("p.offset")).withColumn("h", F.col("p.h"))
+    by = rows.groupBy("group_id", "offset")
+    if not cells:
+        met = by.agg(F.first("files").alias("files"), F.collect_list("h").alias("slices"))
+        made = _lines(width, cells)("slices", "files")
+    else:
+        # of files of equal ord those that are present come first, as they are in order of their length
+        ords = files.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("ord"))).alias("ords"))
+        met = by.agg(F.first("files").alias("files"), F.array_sort(F.collect_list(F.struct(F.struct("ord").alias("o"), "less", "digest", "h"))).alias("s")).join(ords, "group_id")
+        met = met.withColumn("at", F.transform("s", lambda x, i: (F.array_position(F.col("ords"), x["o"]) + i - F.array_position(F.col("s.o"), x["o"])).cast("int")))
+        made = _lines(width, cells)("s.h", "files", "at")
+    lines = met.select("group_id", F.col("offset").alias("start"), F.posexplode(made).alias("k", "l"))
     shown = ["l.cells"] * cells
     return lines.select("group_id", (F.col("start") + F.col("k") * width).cast("long").alias("offset"), *shown, "l.line_class", "l.n_green", "l.n_blue", "l.n_red")
 

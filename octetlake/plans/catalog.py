@@ -307,8 +307,9 @@ _TRIO = "SELECT doc_id // 3 AS group_id, doc_id % 3 AS ord, text FROM documents
 
 
 def _trios(spark, d):
-    """Documents in groups of three neighbours."""
-    return _docs(spark, d).select(F.floor(F.col("file_id") / 3).alias("group_id"), (F.col("file_id") % 3).alias("ord"), "content")
+    """Documents in groups of three neighbours; a null text is no file."""
+    docs = text_blobs(_t(spark, d, "documents").where("text is not null"), "doc_id", "text")
+    return docs.select(F.expr("file_id div 3").alias("group_id"), (F.col("file_id") % 3).alias("ord"), "content")
 
 
 _SQL_DIFF = f"""WITH f AS ({_TRIO}), n AS (SELECT group_id, count(*) AS files, max(strlen(text)) AS longest FROM f GROUP BY 1),
