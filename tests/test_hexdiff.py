@@ -37,6 +37,10 @@ def test_classes_of_odd_documents(spark, odd_dir):
     _agrees("hexdiff_classes", spark, odd_dir)
 
 
+def test_collapse_of_odd_documents(spark, odd_dir):
+    _agrees("hexdiff_collapse", spark, odd_dir)
+
+
 @pytest.mark.parametrize("at_once", [1, 2, 256])
 def test_cells_of_equal_ord(spark, monkeypatch, at_once):
     """Files of equal ord are columns of their own, the longer one first; null is an empty file; groups of many files are cut shorter."""
