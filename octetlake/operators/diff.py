@@ -84,10 +84,13 @@ def _lines(width: int, cells: bool):
 
 def _cut(content: Column, size: Column) -> Column:
     """Slices of a binary column with their offsets; one empty slice of an empty or null one, since a sequence to -1 is an error
-    that no filter before it keeps off: the planner may evaluate it first."""
-    n = F.coalesce(F.octet_length(content), F.lit(0))
-    part = lambda at: F.struct(at.alias("offset"), F.coalesce(F.substring(content, at + 1, size), F.lit(b"")).alias("h"))
-    return F.explode_outer(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), size), part))  # outer: no filter repeats it
+    that no filter before it keeps off: the planner may evaluate it first. Beside an array the content is not copied for each slice."""
+
+    def whole(c: Column) -> Column:
+        last = F.greatest(F.octet_length(c) - 1, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last, size), lambda at: F.struct(at.alias("offset"), F.substring(c, at + 1, size).alias("h")))
+
+    return F.explode_outer(F.transform(F.array(F.coalesce(content, F.lit(b""))), whole)[0])  # outer: no filter repeats it
 
 
 def hex_diff(files: DataFrame, width: int = 16, cells: bool = True) -> DataFrame:
